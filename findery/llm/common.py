@@ -82,13 +82,20 @@ def lower_ascii(text: Column) -> Column:
 
 def word_list(text: Column, gap: str = SPACE_GAP) -> Column:
     """The words between the gaps; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), gap), lambda w: w != "")
+    parts = F.split(F.coalesce(text, F.lit("")), gap)
+    lead, trail = _empty_ends(parts)
+    return F.slice(parts, lead + 1, F.size(parts) - lead - trail)
 
 
 def word_count(text: Column, gap: str = SPACE_GAP) -> Column:
     parts = F.split(F.coalesce(text, F.lit("")), gap)
-    ends = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return (F.size(parts) - ends).cast("long")
+    lead, trail = _empty_ends(parts)
+    return (F.size(parts) - lead - trail).cast("long")
+
+
+def _empty_ends(parts: Column) -> tuple[Column, Column]:
+    lead = (F.element_at(parts, 1) == "").cast("int")
+    return lead, ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
 
 
 def free_name(df: DataFrame, name: str) -> str:
