@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, pii, quality, secrets
+from . import decontaminate, jaccard, language, mixing, pii, quality, secrets
 
 QUERIES = {
     "op1_anchor_expansion": pii.op1_anchor_expansion,
     "op3_prefix_set_join": decontaminate.op3_prefix_set_join,
     "op5_distribution_divergence": quality.op5_distribution_divergence,
     "op6_string_kernel": language.op6_string_kernel,
+    "op7_chosen_path_join": jaccard.op7_chosen_path_join,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op10_zstd_novelty": secrets.op10_zstd_novelty,
 }
 SQL: dict[str, str] = {
     "op3_prefix_set_join": decontaminate.SQL,
+    "op7_chosen_path_join": jaccard.SQL,
     "op8_pareto_mix": mixing.SQL,
 }
