@@ -67,16 +67,13 @@ def document_shingles(docs: DataFrame, known: DataFrame, lengths: list[int]) ->
     return found.unionByName(rows.select("__row", "doc_id", "n_words"), allowMissingColumns=True)
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row a row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    Null and empty texts have no words; items without words have no windows; repeated items count once by their
-    item_id as a string (a null one is the empty string). Rows of docs with equal or null ids stay apart."""
+def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (__row, doc_id, text) -> a row a document (__row, doc_id, n_words), the occurrences of windows (__row,
+    first, end, window), and the windows of the items (item, window, length)."""
     windows = common.stage(item_windows(items), "windows")
     shingles = common.stage(window_shingles(windows), "shingles")
     lengths = sorted(r[0] for r in shingles.select(F.least(F.lit(SHINGLE), "length")).distinct().collect())  # five at most
-    numbered = docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
-    found = common.stage(document_shingles(numbered, shingles, lengths or [SHINGLE]), "places")
+    found = common.stage(document_shingles(docs, shingles, lengths or [SHINGLE]), "places")
     each = found.where(F.col("place").isNull()).select("__row", "doc_id", F.col("n_words").cast("long").alias("n_words"))
     places = found.where(F.col("place").isNotNull()).select("__row", "place", "shingle", "around", "start", "n_words")
 
@@ -90,8 +87,15 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     first = F.col("place") - F.col("offset")
     candidates = places.join(common.small(prefix), "shingle").where((first >= 0) & (first + F.col("length") <= F.col("n_words")))
     hits = candidates.where(F.slice("around", first - F.col("start") + 1, F.col("length")) == F.col("window"))
-    hits = common.stage(hits.select("__row", first.alias("first"), (first + F.col("length")).alias("end"), F.xxhash64("window").alias("__key"), "window"), "hits")
+    return each, common.stage(hits.select("__row", first.alias("first"), (first + F.col("length")).alias("end"), "window"), "hits"), windows
+
 
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row a row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words; items without words have no windows; repeated items count once by their
+    item_id as a string (a null one is the empty string). Rows of docs with equal or null ids stay apart."""
+    each, hits, windows = window_hits(docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id()), items)
     ordered = Window.partitionBy("__row").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.groupBy("__row", "first").agg(F.max("end").alias("end")).withColumn("__past", F.max("end").over(ordered))
     covered = spans.groupBy("__row").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("first", F.coalesce("__past", F.lit(0))))).alias("n_hit"))
@@ -103,6 +107,16 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(ids), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without those that have a word in an occurrence of a window; rows are told apart by their texts, so
+    equal texts share their fate and ids don't matter. Null and empty texts stay."""
+    key = common.free_name(docs, "text_key")
+    keyed = docs.withColumn(key, F.unhex(F.md5("text")))
+    _, hits, _ = window_hits(keyed.select(F.col(key).alias("doc_id"), "text").withColumn("__row", F.col("doc_id")), items)
+    hit = hits.select(F.col("__row").alias("__hit")).distinct()
+    return keyed.join(common.small(hit), F.col(key) == F.col("__hit"), "left_anti").select(*docs.columns)
+
+
 def op3_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
 
