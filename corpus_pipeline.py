@@ -10,35 +10,41 @@ from pyspark.sql import functions as F
 
 from findery.llm import common, decontaminate, jaccard, mixing, pii, quality
 
+#: Columns that the stages look at; any others are carried along as they are.
+USED = ("doc_id", "text", "lang", "source")
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the distribution rules reject go."""
-    return quality.assess(docs, quality.references(docs)).where("kept").select(*docs.columns)
+    rows, back = common.shield(docs, USED)
+    return back(quality.assess(rows, quality.references(rows)).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document with the least doc_id stays; of rows with the same doc_id and
     text, one. Documents without words or near copies stay."""
-    classes = jaccard.near_duplicates(docs)
+    rows, back = common.shield(docs, USED)
+    classes = jaccard.near_duplicates(rows)
     firsts = classes.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).distinct()
-    key = common.free_name(docs, "text_key")
-    keyed = docs.withColumn(key, F.unhex(F.md5("text")))
-    kept = keyed.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col(key).eqNullSafe(F.col("__text")), "left_semi")
-    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
+    keyed = rows.withColumn("text_key", F.unhex(F.md5("text")))
+    kept = keyed.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_key").eqNullSafe(F.col("__text")), "left_semi")
+    return back(kept.dropDuplicates(["doc_id", "text_key"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return decontaminate.clean(docs, common.load(spark, sf_dir, "benchmark"))
+    rows, back = common.shield(docs, USED)
+    return back(decontaminate.clean(rows, common.load(spark, sf_dir, "benchmark")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by their kinds; n_chars follows where a text changed."""
-    was = common.free_name(docs, "n_before")
-    masked = pii.mask_pii(docs.withColumn(was, F.length("text")))
+    rows, back = common.shield(docs, (*USED, "n_chars"))
+    masked = pii.mask_pii(rows.withColumn("text_before", F.md5("text")))
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.length("text") == F.col(was), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+        same = F.col("text_before").eqNullSafe(F.md5("text"))
+        masked = masked.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return back(masked)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

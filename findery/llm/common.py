@@ -106,6 +106,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def shield(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but the used ones under names that no operator has, and a function that gives the columns of
+    df back, in their order and under their names."""
+    names = {c: c if c in used else f"carried_{i}_" for i, c in enumerate(df.columns)}
+    covered = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return covered, lambda out: out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def map_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list[list]]], adds: str) -> DataFrame:
     """df with the columns that a Python function adds, in Arrow batches.
 

@@ -14,6 +14,7 @@ link                     a scheme with a user name before an at-sign, or mailto:
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -33,9 +34,10 @@ PHONE = frozenset(" ().0123456789-")
 CUES = ("account", "acct", "konto", "kontonummer", "compte", "cuenta", "iban", "ssn", "social security", "passport", "steuernummer", "dni")
 SCHEMES = ("://", "mailto:", "tel:")
 
+_PATH = re.compile("[/?#]")
 _LINK = re.compile(r"[^\s<>\"'\[\]{}|\\^`]*")
 _AFTER_CUE = re.compile(r"[\x20\t]{0,3}(?:(?:number|no\.?|nr\.?|num\.?|id)[\x20\t]{0,3})?[:=#.]{0,2}[\x20\t]{0,3}([0-9](?:[\x20-]?[0-9])*)", re.IGNORECASE | re.ASCII)
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN = re.compile(r"[\x20\t]{0,3}[:=#.]{0,2}[\x20\t]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -137,6 +139,7 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
     after_run = 0  # past the last run of digits that ip has looked at
     cues: list[int] = []
     links: list[tuple[int, int]] = []
+    tail = 0
     for last, (what, length) in anchors.iter(text or ""):
         if what in DIGITS:
             if last >= after_run:
@@ -164,24 +167,36 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
         else:
             cues.append(last + 1)
     for start, end in links:
-        _link(text, start, end, found, free)
-    taken = sorted(s for kind in (*BASE, "link") for s in found[kind])
+        if end > tail:
+            tail = _LINK.match(text, end).end()  # of schemes in one run of signs, the first has looked for its end
+        _link(text, start, end, tail, found, free)
+    taken = joined_up(s for kind in (*BASE, "link") for s in found[kind])
     for at in sorted(set(cues)):
         _account(text, at, found, free, taken)
     return [(kind, *span) for kind in KINDS for span in found[kind]]
 
 
-def _link(text: str, start: int, end: int, found: dict, free: dict) -> None:
-    tail = _LINK.match(text, end).end()
+def joined_up(spans) -> list[tuple[int, int]]:
+    """Spans as disjoint ones, by start."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+def _link(text: str, start: int, end: int, tail: int, found: dict, free: dict) -> None:
     while tail > end and text[tail - 1] in ".,;:!?)":
         tail -= 1
-    body = text[end:tail]
     if text.startswith("://", start):
         while start > free["link"] and text[start - 1] in ALNUM:
             start -= 1
-        if "@" not in re.split("[/?#]", body, maxsplit=1)[0] or text[start] == ":":
+        path = _PATH.search(text, end, tail)
+        if text.find("@", end, path.start() if path else tail) < 0 or text[start] == ":":
             return
-    elif not body or (start and text[start - 1] in ALNUM):
+    elif tail == end or (start and text[start - 1] in ALNUM):
         return
     if start >= free["link"]:
         free["link"] = tail
@@ -191,16 +206,17 @@ def _link(text: str, start: int, end: int, found: dict, free: dict) -> None:
 def _account(text: str, at: int, found: dict, free: dict, taken: list[tuple[int, int]]) -> None:
     if at < len(text) and text[at] in ALNUM:
         return  # the cue goes on as a longer word
-    if (m := _IBAN.search(text, at, at + 60)) and m.start() >= free["iban"]:
-        for end in range(m.end(), m.start() + 14, -1):  # the longest that checks
-            compact = text[m.start() : end].replace(" ", "")
+    if (m := _IBAN.match(text, at)) and m.start(1) >= free["iban"]:
+        for end in range(m.end(), m.start(1) + 14, -1):  # the longest that checks
+            compact = text[m.start(1) : end].replace(" ", "")
             if len(compact) >= 15 and text[end - 1] != " " and (end == len(text) or text[end] not in ALNUM) and iban_ok(compact):
                 free["iban"] = free["account"] = end
-                found["iban"].append((m.start(), end))
+                found["iban"].append((m.start(1), end))
                 return
     if (m := _AFTER_CUE.match(text, at)) and 6 <= sum(c in DIGITS for c in m[1]) <= 20 and m.start(1) >= free["account"]:
         start, end = m.span(1)
-        if not any(a < end and start < b for a, b in taken):
+        k = bisect.bisect_left(taken, (end,))  # of disjoint spans, only the last that starts before end may overlap
+        if not k or taken[k - 1][1] <= start:
             free["account"] = end
             found["account"].append((start, end))
 

@@ -12,7 +12,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,9 +160,12 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, min_words: int
     totals = common.stage(known.mapInArrow(count, schema).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "histograms")
     wide = totals.where("kind <> 'word'").collect()  # a dozen rows a language
     size = {r.lang: r.n for r in wide if r.kind == "words" and r.n >= min_words}
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
+    ranked = totals.where((F.col("kind") == "word") & F.col("lang").isin(list(size))).withColumn("k", F.row_number().over(best)).where(F.col("k") <= common_words)
+    words = sorted(ranked.collect(), key=lambda r: r.k)  # Spark cuts each task to so many words a language
     out = {}
     for lang, n_words in sorted(size.items()):
-        top = totals.where((F.col("kind") == "word") & (F.col("lang") == lang)).orderBy(F.desc("n"), "item").limit(common_words).collect()
+        top = [r for r in words if r.lang == lang]
         classes = np.zeros(len(CLASSES))
         for r in wide:
             if r.kind == "class" and r.lang == lang:

@@ -26,6 +26,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this equals taking al
 #: Words of sensitive context, and the candidates looked for in the characters after one.
 CONTEXT = re.compile(r"(?:credential|passphrase|pass_?code|private[_ -]?key|client[_ -]?secret|secret|access[_ -]?key|auth(?:orization)?|bearer|session[_ -]?id|pwd|passwd|password|api[_ -]?key|token|signature|connection[_ -]?string)[a-z_]*", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=.~-]*")
 REACH = 80  # characters after the word of context
 AROUND = 200  # characters on either side that prime the compressor
 MIN_NOVELTY = 0.55  # marginal bytes a byte
@@ -76,16 +77,18 @@ def find(text: str | None, min_novelty: float = MIN_NOVELTY) -> list[tuple[str,
     text = text or ""
     base = base_spans(text)
     out = [(*s, *novelty(text, s[1], s[2])) for s in base]
-    seen = set()
+    known = sorted((a, b) for _, a, b in base)
+    past = k = 0  # behind the last candidate; the first base span that may reach the next one
     for context in CONTEXT.finditer(text):
         for m in CANDIDATE.finditer(text, context.end(), min(len(text), context.end() + REACH)):
-            end = m.end()
-            while end < len(text) and CANDIDATE.fullmatch(text[end] * 12):
-                end += 1  # a candidate that goes on beyond the reach is taken whole
-            span = m.start(), end
-            if span in seen or not mixed(text[span[0] : end]) or any(a < end and span[0] < b for _, a, b in base):
+            if m.start() < past:
+                continue
+            span = m.start(), RUN.match(text, m.end()).end()  # one that goes on beyond the reach is taken whole
+            past = span[1]
+            while k < len(known) and known[k][1] <= span[0]:
+                k += 1
+            if not mixed(text[span[0] : span[1]]) or any(a < span[1] and span[0] < b for a, b in known[k : k + 2 * len(KINDS)]):
                 continue
-            seen.add(span)
             marginal, rate = novelty(text, *span)
             if rate >= min_novelty and marginal >= MIN_MARGINAL:
                 out.append(("novel", *span, marginal, rate))
