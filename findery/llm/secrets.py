@@ -51,8 +51,12 @@ def compressed(data: bytes, primer: bytes) -> int:
 
 
 def novelty(text: str, start: int, end: int) -> tuple[int, float]:
-    """Marginal bytes of text[start:end] against its surroundings and the identifiers, and the same a byte."""
+    """Marginal bytes of text[start:end] against its surroundings and the identifiers, and the same a byte.
+
+    Strings of the surroundings that might be secrets themselves are left out: one that stands there twice is no less
+    a secret."""
     around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
+    around = CANDIDATE.sub(lambda m: " " if mixed(m[0]) else m[0], around)
     primer = (IDENTIFIERS + "\n" + around).encode("utf-8", "replace")
     body = text[start:end].encode("utf-8", "replace")
     marginal = max(0, compressed(body, primer) - compressed(b"", primer))

@@ -1,0 +1,57 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from findery.llm import common, decontaminate
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def split(text):
+    return WORD.findall((text or "").translate(str.maketrans(common.UPPER, common.UPPER.lower())))
+
+
+def brute(docs, items):
+    windows = []
+    for item, text in items:
+        w = split(text)
+        windows += [(item, w[i : i + 10]) for i in range(max(1, len(w) - 9)) if w]
+    out = []
+    for doc, text in docs:
+        w, hit, ids = split(text), set(), set()
+        for item, win in windows:
+            for i in range(len(w) - len(win) + 1):
+                if w[i : i + len(win)] == win:
+                    hit.update(range(i, i + len(win)))
+                    ids.add("" if item is None else str(item))
+        out.append((str(doc), len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [common.BROADCAST_ROWS, 0])
+def test_against_brute_force(spark, docs_of, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common.small, "__defaults__", (limit,))
+    rng = random.Random(3)
+    vocabulary = ["Alpha", "beta", "GAMMA", "délta", "x1"]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(1, text(14)), (2, text(10)), (3, "beta, x1 -- GAMMA"), (4, "zeta"), (5, None), (6, " .. "), (None, text(12)), (10, text(25)), (2, text(11))]
+    docs = [(i, text(rng.randint(0, 60))) for i in range(25)]
+    docs += [(30, items[0][1].lower()), (31, "!! ".join(split(items[7][1]))), (32, f"a {items[1][1]} b {items[1][1]}"), (33, None), (34, ""), (30, "ZETA"), (None, "beta x1 gamma"), (None, None)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contamination(docs_of(docs), table).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows) == brute(docs, items)
+
+
+def test_clean_and_empty_tables(spark, docs_of, words):
+    passage = words(12, "item")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    docs = docs_of([(1, f"x {passage} y"), (2, words(40, 1)), (3, None), (None, f"{passage}"), (4, "")])
+    out = decontaminate.clean(docs, items)
+    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["2", "3", "4"]
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.clean(docs, none).count() == 5
+    assert decontaminate.contamination(docs, none).where("contaminated").count() == 0
+    assert decontaminate.contamination(docs.where("false"), items).count() == 0
