@@ -18,6 +18,7 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"  # a run without ASCII white space
 SPACE_GAP = r"[\x20\x09-\x0D]+"
 PLAIN_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates lower-cased ASCII or any other words
 ROWS_PER_SLICE = 512
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20  # of a batch that goes to Python
 BROADCAST_ROWS = 200_000  # of two or three narrow columns: some tens of MB at most
 
 
@@ -106,6 +107,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, batches for Python are bounded by rows and bytes: several are in memory for each task at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def shield(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with all columns but the used ones under names that no operator has, and a function that gives the columns of
     df back, in their order and under their names."""
@@ -120,6 +128,7 @@ def map_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..
     make() runs once a task and gives a function from lists (one an input column) to lists (one an added column).
     Added columns replace those of the same name. Batches are cut to ROWS_PER_SLICE rows, which bounds memory."""
     added = T._parse_datatype_string(adds) if isinstance(adds, str) else adds
+    small_batches(df.sparkSession)
     names = {f.name.lower() for f in added.fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     schema = T.StructType([*kept, *added.fields])

@@ -31,7 +31,7 @@ MIN_CHARS = 100  # shorter texts aren't judged by character classes
 MIN_WORDS = 80  # nor by common words
 MAX_CHAR_DISTANCE = 0.27
 MAX_WORD_DISTANCE = 0.48
-FLUSH_WORDS = 200_000  # distinct words that a task counts before it passes them on
+FLUSH_WORDS = 100_000  # distinct words that a task counts before it passes them on
 
 
 def char_class(point: int) -> int:
@@ -156,6 +156,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, min_words: int
         if kept:
             yield rows()
 
+    common.small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     totals = common.stage(known.mapInArrow(count, schema).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "histograms")
     wide = totals.where("kind <> 'word'").collect()  # a dozen rows a language
