@@ -1,0 +1,20 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from findery.session import session
+
+    base = tmp_path_factory.mktemp("spark")
+    found = session("tests", "local[4]", **{
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.warehouse.dir": f"{base}/warehouse", "spark.checkpoint.dir": f"file://{base}/shared", "spark.driver.memory": "3g",
+    })
+    found.sparkContext.setLogLevel("ERROR")
+    yield found
+    found.stop()

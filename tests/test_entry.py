@@ -1,0 +1,44 @@
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+import __spark_entry__ as entry
+
+ROOT = Path(__file__).resolve().parents[1]
+
+
+def test_every_sql_has_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_has_rows(spark):
+    rows = entry.entry(spark).collect()
+    assert [r.metric for r in rows] == ["mrr@10", "recall@1", "recall@5"]
+
+
+def test_core_does_not_need_the_training_operators(tmp_path):
+    code = "import sys; sys.modules['findery.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def compare(spark, name, folder="/root/testdata/sf0.001"):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in "documents embeddings pages benchmark labels conversations events".split():
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    rows = entry.queries()[name](spark, folder)
+    names = sorted(rows.columns)
+    found = con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == names
+    ours = sorted(tuple(str(r[c]) for c in names) for r in rows.collect())
+    theirs = sorted(tuple(str(r[columns.index(c)]) for c in names) for r in found.fetchall())
+    assert ours == theirs
+
+
+@pytest.mark.parametrize("name", ["tokenize_terms", "clean_pages", "numbering_profile", "norm_text", "overlap_topk_source", "bm25_topk", "dense_topk_scoped", "rerank_topk", "sync_diff", "recall_mrr", "paired_bootstrap", "isotonic_steps", "confidence_lookup", "question_validation", "citations", "render_hits", "stream_event_counts"])
+def test_queries_equal_their_sql(spark, name):
+    compare(spark, name)

@@ -1,0 +1,142 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from findery.functions.vectors import HashEmbedder, dot, unit
+from findery.operators import index, retrieve
+from findery.sources.store import VectorStore
+
+TEXTS = [("a", "s1", "the router forwards a packet"), ("b", "s1", "the the switch forwards frames"), ("c", "s2", "A packet packet queue"), ("d", "", ""), ("e", None, None)]
+ASKED = [(1, "packet router"), (2, "Frames frames?"), (3, "..."), (4, "")]
+
+
+@pytest.fixture(scope="module")
+def chunks(spark):
+    return spark.createDataFrame(TEXTS, "id string, source string, text string")
+
+
+@pytest.fixture(scope="module")
+def asked(spark):
+    return spark.createDataFrame(ASKED, "query_id long, query string")
+
+
+def listed(df):
+    return {k: [(r.id, round(r.score, 6)) for r in sorted((r for r in df.collect() if r.query_id == k), key=lambda r: r["rank"])] for k in (1, 2, 3, 4)}
+
+
+def test_overlap(asked, chunks):
+    assert listed(retrieve.overlap(asked, chunks)) == {1: [("a", 1.0), ("c", 0.5)], 2: [("b", 1.0)], 3: [], 4: []}
+
+
+def plain_bm25(query, k1=1.5, b=0.75):
+    import re
+
+    docs = {i: re.findall(r"\w+", (t or "").lower()) for i, _, t in TEXTS}
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    out = {}
+    for i, words in docs.items():
+        score = 0.0
+        for term in set(re.findall(r"\w+", query.lower())):
+            df = sum(term in w for w in docs.values())
+            tf = words.count(term)
+            if tf:
+                score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean))
+        if score:
+            out[i] = round(score, 6)
+    return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+
+
+def test_bm25(asked, chunks):
+    assert listed(retrieve.bm25(asked, chunks)) == {k: plain_bm25(q) for k, q in ASKED}
+
+
+def test_source_filter_leaves_statistics(asked, chunks):
+    limited = asked.withColumn("source", F.lit("s2"))
+    assert listed(retrieve.bm25(limited, chunks))[1] == [x for x in plain_bm25("packet router") if x[0] == "c"]
+    assert listed(retrieve.bm25(asked.withColumn("source", F.lit(None).cast("string")), chunks))[1] == plain_bm25("packet router")
+
+
+def test_k_and_ties(spark, asked):
+    same = spark.createDataFrame([(i, "s", "frames here") for i in "zyx"], "id string, source string, text string")
+    assert [i for i, _ in listed(retrieve.bm25(asked, same, 2))[2]] == ["x", "y"]
+
+
+def test_dense_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK", 3)
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(50, 8)).astype(np.float32)
+    rows = [(i, f"s{i % 3}", v[i].tolist()) for i in range(50)] + [(99, "s0", [0.0] * 8)]
+    vectors = spark.createDataFrame(rows, "id long, source string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(i, None if i % 2 else "s1", v[i].tolist()) for i in range(7)] + [(50, None, None), (51, None, [])], "query_id long, source string, embedding array<float>")
+    got = {}
+    for r in retrieve.dense(queries, vectors, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    m = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    for q in range(7):
+        scores = [(-round(float(m[q] @ m[i]), 6), i) for i in range(50) if q % 2 or i % 3 == 1]
+        assert [(i, -s) for s, i in sorted(scores)[:4]] == [(i, pytest.approx(s)) for _, i, s in sorted(got[q])]
+    assert set(got) == set(range(7))
+    assert retrieve.dense(queries, vectors, 0).count() == 0
+    assert {r.id % 3 for r in retrieve.dense(queries.drop("source"), vectors, 4, ["s2"]).collect()} == {2}
+
+
+def test_vector_expressions(spark):
+    r = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, z array<float>").select(unit(F.col("a")).alias("u"), unit(F.col("z")).alias("v"), dot(F.col("a"), F.col("a")).alias("d")).first()
+    assert r.u == pytest.approx([0.6, 0.8]) and r.v == [0.0, 0.0] and r.d == 25
+
+
+def test_embedder_is_batch_invariant(spark):
+    e = HashEmbedder()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b a", "", None, "c"])], "id long, t string")
+    rows = {r.id: list(r.v) for r in df.repartition(3).select("id", e.passages(F.col("t")).alias("v")).collect()}
+    assert rows[0] == rows[1] and sum(rows[2]) == sum(rows[3]) == 0 and np.linalg.norm(rows[4]) == pytest.approx(1)
+
+
+def test_rerank(asked, chunks):
+    length = lambda q, t: F.length(t).cast("double")
+    hits = listed(retrieve.reranked(retrieve.bm25, scorer=length)(asked, chunks, 5))
+    assert [i for i, _ in hits[1]] == ["a", "c"] and hits[1][0][1] == len(TEXTS[0][2])
+    const = lambda q, t: F.lit(1.0)
+    base = [i for i, _ in listed(retrieve.bm25(asked, chunks))[1]]
+    assert [i for i, _ in listed(retrieve.reranked(retrieve.bm25, scorer=const)(asked, chunks, 5))[1]] == base
+    assert [i for i, _ in listed(retrieve.reranked(retrieve.bm25, 1, length)(asked, chunks, 1))[1]] == base[:1]
+    with pytest.raises(ValueError):
+        retrieve.reranked(retrieve.bm25, 0)
+
+
+def test_registry(asked, chunks):
+    for name, find in retrieve.registry().items():
+        found = listed(find(asked, chunks.where("text IS NOT NULL"), 2))
+        assert found[1][0][0] in ("a", "c"), name
+        assert found[4] == []
+
+
+def test_sync_diff(spark):
+    new = spark.createDataFrame([("s", "1"), ("s", "2"), (None, "9")], "source string, id string")
+    old = spark.createDataFrame([("s", "2"), ("s", "3"), ("t", "4"), ("", "9")], "source string, id string")
+    assert {(r.source, r.id): r.action for r in index.sync_diff(new, old).collect()} == {("s", "1"): "add", ("s", "2"): "keep", ("s", "3"): "delete", ("", "9"): "keep"}
+
+
+def form(spark, rows):
+    return spark.createDataFrame([(i, t, (s, "sec", 1, k)) for k, (i, s, t) in enumerate(rows)], "id string, text string, metadata struct<source:string,section:string,page:int,part:int>")
+
+
+def test_store(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path), HashEmbedder(), buckets=4)
+    book = [("1", "book", "tcp reno"), ("2", "book", "ip address"), ("3", "book", "link state"), ("4", "paper", "gossip"), ("4", "paper", "gossip again")]
+    assert store.sync(form(spark, book)) == {"added": 4, "deleted": 0, "kept": 0, "duplicates": 1}
+    assert store.sync(form(spark, book))["kept"] == 4 and store.count() == 4
+    assert store.sync(form(spark, [("1", "book", "tcp reno"), ("5", "book", "new")])) == {"added": 1, "deleted": 2, "kept": 1, "duplicates": 0}
+    assert sorted((r.source, r.id) for r in store.read().collect()) == [("book", "1"), ("book", "5"), ("paper", "4")]
+    assert store.read().where("id = '4'").first().text == "gossip"
+    asked = spark.createDataFrame([(0, "tcp"), (1, " ")], "query_id long, query string")
+    assert [(r.query_id, r.id) for r in store.query(asked, 1).collect()] == [(0, "1")]
+    assert store.query(asked, 1, ["paper"]).first().id == "4"
+    assert [r.source for r in store.sources().collect()] == ["book", "paper"]
+    assert store.remove_source("book") == 2 and store.remove_source("book") == 0 and store.count() == 1
+    again = VectorStore(spark, str(tmp_path), HashEmbedder())
+    assert again.count() == 1 and again.buckets == 4
+    with pytest.raises(ValueError, match="holds vectors"):
+        VectorStore(spark, str(tmp_path), HashEmbedder(32), name="chunks__hashed-words-64")

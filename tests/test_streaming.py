@@ -1,0 +1,41 @@
+from pyspark.sql import functions as F
+
+from findery.functions.vectors import HashEmbedder
+from findery.operators import retrieve
+from findery.sources.store import VectorStore
+from findery.streaming import ingest
+
+
+def words(n, tag):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def test_new_files_are_synced_once(spark, tmp_path):
+    files = tmp_path / "files"
+    files.mkdir()
+    (files / "a.md").write_text(f"# A\n{words(40, 'a')}")
+    store = VectorStore(spark, f"{tmp_path}/store", HashEmbedder(), buckets=4)
+    run = lambda: ingest.sync_files(spark, str(files), store, f"{tmp_path}/checkpoint").awaitTermination()
+    run()
+    (files / "b.txt").write_text(words(50, "b"))
+    run()
+    run()
+    assert sorted((r.source, r.section) for r in store.read().collect()) == [("a.md", "A"), ("b.txt", "")]
+
+
+def test_questions_are_answered_as_they_arrive(spark, tmp_path):
+    chunks = spark.createDataFrame([("x", "s", "one two"), ("y", "s", "three")], "id string, source string, text string")
+    spark.createDataFrame([(1, "two"), (2, "three one")], "query_id long, query string").write.json(f"{tmp_path}/q")
+    asked = spark.readStream.schema("query_id long, query string").json(f"{tmp_path}/q")
+    got = []
+    ingest.answer_stream(asked, chunks, retrieve.bm25, 1, lambda df, _: got.extend((r.query_id, r.id) for r in df.collect()), f"{tmp_path}/c").awaitTermination()
+    assert sorted(got) == [(1, "x"), (2, "y")]
+
+
+def test_event_windows(spark, tmp_path):
+    rows = [("2024-01-01 00:01:00", "a", 1.0), ("2024-01-01 00:04:59", "a", 2.0), ("2024-01-01 00:05:00", "b", 3.0)]
+    spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(f"{tmp_path}/e")
+    stream = spark.readStream.schema("ts timestamp_ntz, event_type string, value double").parquet(f"{tmp_path}/e")
+    q = ingest.event_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.event_type, r.n, r.total) for r in spark.table("windows").collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
