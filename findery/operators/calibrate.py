@@ -6,6 +6,7 @@ import json
 import random
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,17 +54,25 @@ def ece(rows: DataFrame, by: list[str], p: str = "p", y: str = "y", bins: int =
     return gaps.groupBy(*by).agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("ece"))
 
 
+def turn(a: list[int], b: list[int], c: list[int]) -> int:
+    """Above 0 if the way from a over b to c bends upwards."""
+    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+
+
 def pool(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
-    """Pools adjacent violators of counts by value: a block joins the one before while its rate isn't greater."""
-    blocks: list[list] = []
-    for x, s, n in zip(*(rows.sort_values("x")[c] for c in ("x", "s", "n")), strict=True):
-        blocks.append([x, int(s), int(n)])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            _, s1, n1 = blocks.pop()
-            blocks[-1][1] += s1
-            blocks[-1][2] += n1
+    """Isotonic regression of counts by value: the steps are the edges of the greatest convex line below the points
+    (examples so far, successes so far), whose slopes rise strictly."""
+    rows = rows.sort_values("x")
+    x = rows["x"].to_numpy()
+    points = np.vstack([[0, 0], np.cumsum(rows[["n", "s"]].to_numpy(np.int64), axis=0)]).tolist()
+    hull = [0]
+    for k in range(1, len(points)):
+        while len(hull) > 1 and turn(points[hull[-2]], points[hull[-1]], points[k]) <= 0:
+            hull.pop()
+        hull.append(k)
     first = {c: rows[c].iloc[0] for c in by}
-    return pd.DataFrame([{**first, "x_from": x, "successes": s, "n": n, "p": (s + 1) / (n + 2)} for x, s, n in blocks])
+    edges = [(x[a], points[b][1] - points[a][1], points[b][0] - points[a][0]) for a, b in zip(hull, hull[1:], strict=False)]
+    return pd.DataFrame([{**first, "x_from": v, "successes": s, "n": n, "p": (s + 1) / (n + 2)} for v, s, n in edges])
 
 
 def isotonic(rows: DataFrame, by: list[str], x: str = "x", y: str = "y", monotone: bool = False) -> DataFrame:
