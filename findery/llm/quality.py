@@ -27,9 +27,9 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Parameters of production.
 COMMON_WORDS = 64  # of each language, the most frequent ones
 MIN_REFERENCE_WORDS = 2_000  # a language with fewer words gets no reference
-MIN_CHARS = 100  # shorter texts aren't judged by character classes
+MIN_CHARS = 200  # shorter texts aren't judged by character classes
 MIN_WORDS = 80  # nor by common words
-MAX_CHAR_DISTANCE = 0.27
+MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.48
 FLUSH_WORDS = 100_000  # distinct words that a task counts before it passes them on
 
