@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import prompt, vectors
 from ..functions import text as tx
 from ..operators import answer, calibrate, chunk, clean, index, judge, metrics, questions, retrieve, sections
-from ..session import bounded
+from ..session import bounded, temporary
 from ..sources import records
 from ..sources.store import VectorStore
 from . import evaluate, ingest
@@ -63,12 +63,6 @@ def as_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(k.alias("query_id"), F.col("text").alias("query"), kind.alias("type"), F.col("text").alias("evidence"), label.alias("relevant"), F.concat(F.lit("g"), (k % 7).cast("string")).alias("group"))
 
 
-def temporary(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or the warehouse where there is none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/findery-{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- text and ingest
 
 

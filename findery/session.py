@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,28 @@ def session(name: str = "findery", master: str | None = None, **settings: str) -
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path that all executors see: below spark.checkpoint.dir, or the warehouse where there is none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/findery/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that is written now: what is read more than once is computed once, and outlives executors."""
+    spark, path = df.sparkSession, temporary(df.sparkSession, name)
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has gone already
+        return
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count of at most rows + 1 rows shows that it is small, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
