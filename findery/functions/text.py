@@ -16,7 +16,9 @@ DASHES = "‐‑‒–—―−"
 CURLY, STRAIGHT = "‘’“”", "''\"\""
 MARKUP = "*_`"
 # Signs around the text of a running header or footer.
-EDGE = r"[ *_#|\-•\t]"
+EDGE = " *_#|-•\t"
+#: The characters of SPACE, for functions that take a list.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def tokens(text: Column) -> Column:
@@ -29,15 +31,15 @@ def token_set(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+$", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(text, f"{SPACE}+", " "), F.lit(" "))
 
 
 def lines(text: Column) -> Column:
@@ -49,8 +51,8 @@ def lines(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     """White-space words."""
-    bare = squeeze(text)
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, " ")))
+    bare = strip(text)
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"{SPACE}+")))
 
 
 def is_ascii(text: Column) -> Column:
@@ -76,8 +78,7 @@ def comparable(text: Column, ascii_only: bool = False) -> Column:
 
 def line_key(line: Column) -> Column:
     """A line without digits and without the signs around it, lower-cased."""
-    bare = F.regexp_replace(line, r"\p{Nd}+", "")
-    return F.lower(F.regexp_replace(bare, f"^{EDGE}+|{EDGE}+$", ""))
+    return F.lower(F.btrim(F.regexp_replace(line, r"\p{Nd}+", ""), F.lit(EDGE)))
 
 
 def join_hyphens(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..functions import text as tx
-from ..session import bounded
+from ..session import bounded, settled
 
 MIN_EVIDENCE = 20
 THRESHOLD = 90.0
@@ -49,7 +49,7 @@ def judge(hits: DataFrame, questions: DataFrame, chunks: DataFrame, threshold: f
 
     questions: query_id, evidence, relevant; chunks: id, text, metadata. Hits are few beside chunks, so they are
     broadcast to them if they are counted to be few."""
-    rows = chunks.select("id", "text", "metadata").join(bounded(hits), "id").join(bounded(questions.select("query_id", "evidence", "relevant")), "query_id")
+    rows = chunks.select("id", "text", "metadata").join(settled(hits, "hits"), "id").join(bounded(questions.select("query_id", "evidence", "relevant")), "query_id")
     return rows.select("query_id", "rank", "id", "score", evidence_ok(F.col("evidence"), F.col("text"), threshold).alias("hit_evidence"), section_ok(F.col("metadata.source"), F.col("metadata.section"), F.col("relevant")).alias("hit_section"))
 
 

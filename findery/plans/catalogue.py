@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import prompt, vectors
 from ..functions import text as tx
 from ..operators import answer, calibrate, chunk, clean, index, judge, metrics, questions, retrieve, sections
-from ..session import bounded, temporary
+from ..session import bounded, settled, spread, temporary
 from ..sources import records
 from ..sources.store import VectorStore
 from . import evaluate, ingest
@@ -48,7 +48,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +341,7 @@ def judged(spark, sf_dir, find=retrieve.bm25, exact=True) -> DataFrame:
     hits = find(asked.select("query_id", "query"), rows, DEPTH)
     if not exact:
         return judge.judge(hits, asked, rows)
-    pairs = rows.join(bounded(hits), "id").join(bounded(asked.select("query_id", "evidence", "relevant")), "query_id")
+    pairs = rows.join(settled(hits, "hits"), "id").join(bounded(asked.select("query_id", "evidence", "relevant")), "query_id")
     a, b = tx.comparable(F.col("evidence")), tx.comparable(F.col("text"))
     return pairs.select("query_id", "rank", "id", "score", ((F.length(a) >= judge.MIN_EVIDENCE) & F.contains(b, a)).alias("hit_evidence"), judge.section_ok(F.col("metadata.source"), F.col("metadata.section"), F.col("relevant")).alias("hit_section"))
 
@@ -594,7 +594,7 @@ def fuzzy_validation(spark, sf_dir):
     """Items as evidence for the best document of each: most are found nearly or not at all."""
     asked = as_questions(spark, sf_dir)
     best = retrieve.bm25(asked, as_chunks(spark, sf_dir), 1)
-    rows = as_chunks(spark, sf_dir).select("id", F.col("text").alias("section_text")).join(bounded(best), "id").join(bounded(asked), "query_id")
+    rows = as_chunks(spark, sf_dir).select("id", F.col("text").alias("section_text")).join(settled(best, "hits"), "id").join(bounded(asked), "query_id")
     return questions.validate(rows.select("query_id", "query", "type", "evidence", "section_text"), asked.where("false").select("query"), ["query_id"]).select("query_id", "reason")
 
 

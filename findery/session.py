@@ -24,6 +24,13 @@ def session(name: str = "findery", master: str | None = None, **settings: str) -
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out to all cores where its files are too few to occupy them. A large table has more
+    parts than there are cores and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def temporary(spark: SparkSession, name: str) -> str:
     """A new path that all executors see: below spark.checkpoint.dir, or the warehouse where there is none."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
@@ -49,3 +56,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count of at most rows + 1 rows shows that it is small, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def settled(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """bounded() for what is dear to compute: it is written first, so that the count doesn't compute it once more."""
+    return bounded(stage(df, name), rows)
