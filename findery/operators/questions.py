@@ -42,10 +42,12 @@ def eligible(sections: DataFrame, low: int = MIN_WORDS, high: int = MAX_WORDS) -
     return rows.where(F.col("n_words").between(low, high) & ~F.exists("path", lambda h: h.rlike(SKIP)))
 
 
-def in_fixed_order(sections: DataFrame, seed: int = 0, keys: tuple[str, ...] = ("doc", "section_no")) -> DataFrame:
-    """sections with ask_order, by a hash of their keys: a longer prefix holds a shorter one."""
+def in_fixed_order(sections: DataFrame, limit: int, seed: int = 0, keys: tuple[str, ...] = ("doc", "section_no")) -> DataFrame:
+    """The first sections in the order of a hash of their keys, with ask_order: a greater limit gives the same ones and
+    more. Each task passes on so many rows at most, and only those are numbered."""
     text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
-    return sections.withColumn("ask_order", F.row_number().over(Window.orderBy(F.md5(text), *keys)))
+    first = sections.withColumn("__hash", F.md5(text)).orderBy("__hash", *keys).limit(limit)
+    return first.withColumn("ask_order", F.row_number().over(Window.orderBy("__hash", *keys))).drop("__hash")
 
 
 def shuffled(keys: list, seed: int = 0) -> list:
@@ -55,9 +57,9 @@ def shuffled(keys: list, seed: int = 0) -> list:
     return out
 
 
-def todo(sections: DataFrame, progress: DataFrame, limit: int) -> DataFrame:
-    """Of the first limit sections (ask_order), those whose key isn't in the progress table."""
-    rows = sections.where(F.col("ask_order") <= limit).withColumn("key", section_key())
+def todo(sections: DataFrame, progress: DataFrame) -> DataFrame:
+    """Of the sections in their order, those whose key isn't in the progress table."""
+    rows = sections.withColumn("key", section_key())
     return rows.join(progress.select("key").distinct(), "key", "left_anti")
 
 

@@ -605,9 +605,9 @@ _ORDERED = "o AS (SELECT doc_id, source, row_number() OVER (ORDER BY md5('0|' ||
 def resume_todo(spark, sf_dir):
     """Of the first hundred sections in the fixed order, those that an earlier run hasn't asked about."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).alias("page"), F.array(F.col("doc_id").cast("string")).alias("path"))
-    rows = questions.in_fixed_order(docs, 0, ("doc_id",))
+    rows = questions.in_fixed_order(docs, 100, 0, ("doc_id",))
     progress = rows.where(F.col("ask_order") % 4 == 0).select(questions.section_key().alias("key"))
-    return questions.todo(rows, progress, 100).select("doc_id", "ask_order")
+    return questions.todo(rows, progress).select("doc_id", "ask_order")
 
 
 @query(

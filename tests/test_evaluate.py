@@ -248,10 +248,10 @@ def test_cards(spark):
 def test_question_run(spark):
     base = "This is a long enough sentence about protocol number"
     sections = spark.createDataFrame([("d", "b.md", i, ["A", "Homework"] if i == 4 else ["A", f"S{i}"], " ".join(f"{base} {i}." for _ in range(15)), i) for i in range(6)], "doc string, source string, section_no int, path array<string>, text string, page int")
-    chosen = questions.in_fixed_order(questions.eligible(sections))
+    chosen = questions.in_fixed_order(questions.eligible(sections), 10)
     assert chosen.count() == 5 and questions.eligible(sections, high=100).count() == 0
     first = [r.section_no for r in chosen.orderBy("ask_order").collect()]
-    assert first[:2] == [r.section_no for r in chosen.where("ask_order <= 2").orderBy("ask_order").collect()]
+    assert first[:2] == [r.section_no for r in questions.in_fixed_order(questions.eligible(sections), 2).orderBy("ask_order").collect()]
 
     def llm(text):
         k = text.split("Section: A > S")[1][0]
@@ -261,7 +261,7 @@ def test_question_run(spark):
         return [{"query": f" What  about {k}?", "type": "factual", "evidence": good}, {"query": f"what about {k}?", "type": "keyword", "evidence": good}, {"query": "", "type": "factual", "evidence": good}, {"query": "q", "type": "odd", "evidence": good}, {"query": "why", "type": "factual", "evidence": "An invented sentence that stands nowhere."}, {"query": "n", "type": "factual", "evidence": None}]
 
     progress = spark.createDataFrame([("b.md|1|A > S1",)], "key string")
-    todo = questions.todo(chosen, progress, 10)
+    todo = questions.todo(chosen, progress)
     replies = questions.ask(todo, llm)
     rows = questions.reply_questions(replies)
     seen = spark.createDataFrame([("What about 2?",)], "query string")
