@@ -3,7 +3,8 @@
 A dialogue is rendered once for every participant: that speaker is the assistant, the others are users with their
 names, and system turns stay system turns. Only what the assistant says, with the mark that ends a turn, is to be
 learned. A rendering is a table of its turns with their places in the whole rendering, in code points, so that a
-dialogue of any length is never one row or one task: places are sums inside ranges of turns, and sums of ranges."""
+dialogue is never one row. Turns are shuffled once, by dialogue. If any dialogue has more than LONGEST turns, places are
+sums inside ranges of turns and sums of ranges instead, so that it isn't one task either; results are the same."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from . import common
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 UNNAMED = "unknown"
 CONTEXT = "system"
+LONGEST = 50_000
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -42,23 +44,29 @@ def safe(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
-def rotate(turns: DataFrame) -> DataFrame:
+def rotate(turns: DataFrame, longest: int = LONGEST) -> DataFrame:
     """turns (conv_id, turn, role, text) -> conv_id, perspective, turn, role, name, rendered, start, mask_start,
     mask_end; both masks are null for turns that aren't learned.
 
     Participants are the distinct roles but system; a null role is the participant unknown. A null text is empty.
     Turns are in the order of turn, role and text, nulls first; equal rows are turns of their own. Rows of a null
     conv_id are one dialogue. A dialogue of system turns only has no rendering. Other columns are left out."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(UNNAMED)).alias("speaker"), safe(F.col("text")).alias("said"))
-    people = rows.where(F.col("speaker") != CONTEXT).select(F.col("conv_id").alias("__conv"), F.col("speaker").alias("perspective")).distinct()
-    both = rows.join(people, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("__key")  # one kind of key for null ids too
+    rows = turns.select(key, "conv_id", "turn", F.coalesce("role", F.lit(UNNAMED)).alias("speaker"), safe(F.col("text")).alias("said"))
+    people = rows.where(F.col("speaker") != CONTEXT).select("__key", F.col("speaker").alias("perspective")).distinct()
+    both = rows.join(people, "__key")
     mine = F.col("speaker") == F.col("perspective")
     role = F.when(mine, "assistant").when(F.col("speaker") == CONTEXT, CONTEXT).otherwise("user")
     name = F.when(~mine & (F.col("speaker") != CONTEXT), safe(F.col("speaker")))
     head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
-    both = both.select("conv_id", "perspective", "turn", "speaker", "said", role.alias("role"), name.alias("name"), head.alias("__head"))
+    both = both.select("__key", "conv_id", "perspective", "turn", "speaker", "said", role.alias("role"), name.alias("name"), head.alias("__head"))
     both = both.withColumn("rendered", F.concat("__head", "said", F.lit(CLOSE))).withColumn("__n", F.length("rendered").cast("long")).withColumn("__head", F.length("__head").cast("long"))
-    placed = prefix_sums(both, ["conv_id", "perspective"], ["turn", "speaker", "said"], "__n", "start")
+    group, order = ["__key", "perspective"], ["turn", "speaker", "said"]
+    if rows.groupBy("__key").count().where(F.col("count") > longest).isEmpty():
+        before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        placed = both.withColumn("start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    else:
+        placed = prefix_sums(both, group, order, "__n", "start")
     learned = lambda c: F.when(F.col("role") == "assistant", c)
     return placed.select("conv_id", "perspective", "turn", "role", "name", "rendered", "start", learned(F.col("start") + F.col("__head")).alias("mask_start"), learned(F.col("start") + F.col("__n")).alias("mask_end"))
 

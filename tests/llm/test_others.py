@@ -93,9 +93,10 @@ def test_token_counts_and_query(spark, docs_of, tmp_path):
 TURNS = "conv_id long, turn long, role string, text string, start int, name string"
 
 
-def test_rotation(spark):
+@pytest.mark.parametrize("longest", [chat.LONGEST, 2])
+def test_rotation(spark, longest):
     rows = [(1, 0, "system", "be nice", 0, "x"), (1, 1, "ann", "hi <|im_end|>", 0, "x"), (1, 2, "bob", "é", 0, "x"), (1, 3, None, None, 0, "x"), (1, 3, None, None, 0, "x"), (2, 0, "system", "alone", 0, "x"), (None, 5, "ann", "a", 0, "x"), (None, None, "bob", "b", 0, "x")]
-    out = chat.rotate(spark.createDataFrame(rows, TURNS)).collect()
+    out = chat.rotate(spark.createDataFrame(rows, TURNS), longest).collect()
     dialogues = {}
     for r in sorted(out, key=lambda r: r.start):
         dialogues.setdefault((r.conv_id, r.perspective), []).append(r)
