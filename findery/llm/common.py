@@ -111,7 +111,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """From now on, batches for Python are bounded by rows and bytes: several are in memory for each task at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
