@@ -30,7 +30,10 @@ MIN_REFERENCE_WORDS = 2_000  # a language with fewer words gets no reference
 MIN_CHARS = 200  # shorter texts aren't judged by character classes
 MIN_WORDS = 80  # nor by common words
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.48
+MAX_WORD_DISTANCE = 0.48  # at most; see word_limit
+#: Common words that a text of its length should hold, and the part of the distance of a text with none that is allowed.
+EXPECTED, ALLOWED = (24, 90), (0.98, 0.72)
+MIN_EXPECTED = 20  # where the reference leads to fewer, nothing follows from their absence
 FLUSH_WORDS = 100_000  # distinct words that a task counts before it passes them on
 
 
@@ -116,6 +119,18 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
 
 
+def word_limit(n_words: int, reference: np.ndarray, most: float = MAX_WORD_DISTANCE) -> float:
+    """The largest word distance that a text of so many words may have from a histogram of common words and the rest.
+
+    It stays below the distance of a text without any common word, and falls with the number that one should hold,
+    as chance then moves its histogram less. A reference whose common words are too rare for the text sets none."""
+    share = 1 - reference[-1] / reference.sum()
+    if n_words * share < MIN_EXPECTED:
+        return math.inf
+    none = np.append(np.zeros(len(reference) - 1), 1)
+    return min(most, js_distance(none, reference) * float(np.interp(n_words * share, EXPECTED, ALLOWED)))
+
+
 def references(docs: DataFrame, common_words: int = COMMON_WORDS, min_words: int = MIN_REFERENCE_WORDS) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
     """lang -> (class histogram, common word -> place, histogram of those words and the rest).
 
@@ -204,7 +219,7 @@ def assess(docs: DataFrame, refs: dict, min_chars: int = MIN_CHARS, min_words: i
             for text, lang in zip(texts, langs, strict=True):
                 words, *base, failed = base_rules(text)
                 char, word, name = (None, None, None) if failed else distances(text, words, lang)
-                kept = not failed and (char is None or char <= max_char) and (word is None or word <= max_word)
+                kept = not failed and (char is None or char <= max_char) and (word is None or word <= word_limit(len(words), refs[name][2], max_word))
                 for column, value in zip(out, (len(words), *base, failed, kept, char, word, name), strict=True):
                     column.append(value)
             return out

@@ -66,3 +66,30 @@ def test_guards_and_no_reference(docs_of):
     assert quality.references(docs) == {}
     assert {r.doc_id: r.kept for r in quality.assess(docs, {}).collect()} == {1: False, 2: True}  # the first repeats itself
     assert quality.references(docs.where("false")) == {} and quality.assess(docs.where("false"), {}).count() == 0
+
+
+def spoken(seed, n, common):
+    """Words of which three in ten are common ones, as in languages at hand."""
+    rng = random.Random(seed)
+    return " ".join(rng.choice(common) if rng.random() < 0.3 else "".join(rng.choices("aeinorstl", k=rng.randint(4, 9))) for _ in range(n)) + "."
+
+
+def test_texts_without_common_words_go(docs_of):
+    rng = random.Random(1)
+    speech = {lang: ["".join(rng.choices("aeinorstlhdu", k=3)) for _ in range(40)] for lang in ("aa", "bb")}
+    clean = [(i, spoken(i, 80 + 5 * i, speech[lang]), lang, "s") for i in range(80) for lang in speech]
+    gibberish = [(1000 + n, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)), "aa", "s") for n in (80, 150, 500, 5000)]
+    mislabelled = [(2000 + n, spoken(n, n, speech["bb"]), "aa", "s") for n in (80, 150, 500, 5000)]
+    refs = quality.references(docs_of(clean))
+    kept = {r.doc_id: r.kept for r in quality.assess(docs_of(clean + gibberish + mislabelled), refs).select("doc_id", "kept").collect()}
+    assert [i for i, *_ in gibberish + mislabelled if kept[i]] == []
+    assert [i for i, *_ in clean if not kept[i]] == []
+
+
+def test_word_limit():
+    usual = np.array([*[10.0] * 30, 700.0])
+    none = quality.js_distance(np.append(np.zeros(30), 1), usual)
+    limits = [quality.word_limit(n, usual) for n in (80, 150, 300, 10_000)]
+    assert limits == sorted(limits, reverse=True) and limits[0] < none < quality.MAX_WORD_DISTANCE and limits[2] == limits[3] > 0.7 * none
+    assert quality.word_limit(100, np.array([1.0, 99.0])) == np.inf  # one common word expected: none is no sign
+    assert quality.word_limit(100, np.array([90.0, 10.0])) == quality.MAX_WORD_DISTANCE
