@@ -2,7 +2,8 @@
 
 References are two histograms a language, over all documents that name it and pass the base rules: character
 classes, and common words. A document is compared with the reference of its own language, or with the nearest
-one if it names none or one without reference, by the Jensen-Shannon distance (base 2, 0 to 1)."""
+one of its script if it names no language, by the Jensen-Shannon distance (base 2, 0 to 1). Documents of a language
+without reference aren't judged by distances."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,6 +75,21 @@ def class_counts(text: str) -> np.ndarray:
     return counts
 
 
+@lru_cache(1 << 16)
+def script_of(char: str) -> str:
+    """The script of a letter as the first word of its Unicode name; empty for other characters."""
+    return re.split("[ -]", unicodedata.name(char, ""))[0] if char.isalpha() else ""
+
+
+def script(counts: Counter) -> str:
+    """The script of most letters, the first by name of equal ones; empty without letters."""
+    seen: Counter = Counter()
+    for char, n in counts.items():
+        seen[script_of(char)] += n
+    del seen[""]
+    return min(seen, key=lambda k: (-seen[k], k), default="")
+
+
 def repeated_window_words(words: list[str], width: int = WINDOW) -> int:
     """Words inside any window of so many words that occurs twice or more in the list, all occurrences counted."""
     n = len(words) - width + 1
@@ -195,10 +212,23 @@ def assess(docs: DataFrame, refs: dict, min_chars: int = MIN_CHARS, min_words: i
     """docs with the base figures, char_distance, word_distance, compared_lang, kept.
 
     Null, empty or blank texts have no words and fail the base rules. A distance is null where the text is under
-    its guard or there is no reference; a null distance doesn't reject. Added columns replace columns of their names."""
+    its guard, its language has no reference, or it names no language and has letters of a script that no reference
+    has; a null distance doesn't reject. Added columns replace columns of their names."""
+
+    scripts = {}
+    for name, (_, places, histogram) in refs.items():
+        letters: Counter = Counter()
+        for word, k in places.items():
+            for char in word:
+                letters[char] += int(histogram[k])
+        scripts[name] = script(letters)
 
     def distances(text, words, lang):
-        own = {lang: refs[lang]} if lang in refs else refs
+        if lang is not None:
+            own = {lang: refs[lang]} if lang in refs else {}
+        else:
+            letters = script(Counter(text))
+            own = {k: v for k, v in refs.items() if letters in ("", scripts[k])}
         classes = class_counts(text) if len(text) >= min_chars else None
         best = (None, None, None)
         for name, (ref_classes, places, ref_words) in own.items():

@@ -93,3 +93,22 @@ def test_word_limit():
     assert limits == sorted(limits, reverse=True) and limits[0] < none < quality.MAX_WORD_DISTANCE and limits[2] == limits[3] > 0.7 * none
     assert quality.word_limit(100, np.array([1.0, 99.0])) == np.inf  # one common word expected: none is no sign
     assert quality.word_limit(100, np.array([90.0, 10.0])) == quality.MAX_WORD_DISTANCE
+
+
+def test_only_references_of_the_language_or_script_judge(docs_of):
+    rng = random.Random(2)
+    hebrew = lambda n: " ".join("".join(rng.choices("אבגדהוזחטילמנ", k=rng.randint(2, 7))) for _ in range(n))
+    rows = [(i, prose(i), "xx", "s") for i in range(60)]
+    signs = " ".join("".join(rng.choices("#*$%&|<>", k=5)) for _ in range(120))
+    rare = [(100, hebrew(150), "he", "s"), (101, hebrew(150), None, "s"), (102, prose(3), None, "s"), (103, signs, None, "s"), (104, signs, "xx", "s")]
+    docs = docs_of(rows + rare)
+    refs = quality.references(docs)
+    assert set(refs) == {"xx"}
+    out = {r.doc_id: r for r in quality.assess(docs, refs).collect()}
+    for i in (100, 101):
+        assert out[i].kept and (out[i].char_distance, out[i].word_distance, out[i].compared_lang) == (None, None, None)
+    assert out[102].kept and out[102].compared_lang == "xx" and not out[103].kept and not out[104].kept
+
+
+def test_scripts():
+    assert [quality.script(Counter(t)) for t in ("abc ж", "Ёж ab жж", "1, 2!", "漢字 a", "ひ a", "")] == ["LATIN", "CYRILLIC", "", "CJK", "HIRAGANA", ""]
