@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,3 +50,25 @@ def test_tables(spark, docs_of, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in secrets.op10_zstd_novelty(spark, str(tmp_path)).collect()}
     assert rows[3].spans == "assign:0:15" and rows[3].base_sha256 == secrets.digest(brute("token = abcdef1")) and rows[1].n_hex == 0 and rows[1].spans == ""
+
+
+def novel(text):
+    return [text[s[1] : s[2]] for s in secrets.find(text) if s[0] == "novel"]
+
+
+def test_random_strings_of_one_alphabet():
+    for text in ("session_id: gojpqbavggzmvmqd", "bearer FKPEBWIYXJLNQPOQ", "passphrase 7234449109894992"):
+        assert novel(text) == [text.split()[1]]
+    rng = random.Random(4)
+    for letters, least in ((string.ascii_lowercase, 190), (string.ascii_uppercase, 190), (string.digits, 195)):
+        for n in (16, 20) if letters == string.digits else (16, 24, 64, 200):  # longer ones of digits are of kind hex
+            planted = ["".join(rng.choices(letters, k=n)) for _ in range(200)]
+            assert sum(novel(f"the bearer {x} of it") == [x] for x in planted) >= least
+    twice = "gojpqbavggzmvmqd"
+    assert novel(f"bearer {twice} and bearer {twice}") == [twice, twice]
+
+
+def test_words_and_usual_numbers_stay():
+    words = "responsibilities internationalization Geschwindigkeitsbegrenzung Verantwortlichkeiten constitutionnellement responsabilidades configuration-management AUTHENTICATION_FAILED org.example.project/settings 192.168.100.200 2024-01-31-12-30-00 20240131123000 ---------------- =-=-=-=-=-=- +----+------+---+ 000000000000"
+    for word in words.split():
+        assert novel(f"the token {word} of it") == []
