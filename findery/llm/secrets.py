@@ -24,11 +24,16 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this equals taking all runs and dropping short ones
 
-#: Words of sensitive context, and the candidates looked for in the characters after one.
+#: Words of sensitive context, and the candidates that begin in the characters after one.
 CONTEXT = re.compile(r"(?:credential|passphrase|pass_?code|private[_ -]?key|client[_ -]?secret|secret|access[_ -]?key|auth(?:orization)?|bearer|session[_ -]?id|pwd|passwd|password|api[_ -]?key|token|signature|connection[_ -]?string)[a-z_]*", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=.~-]*")
+RUN = re.compile(r"[A-Za-z0-9+/_=.~-]+")
+#: A line of one run after a break, also an escaped one, and the end of a key.
+NEXT_LINE = re.compile(r"(?:[ \t]*+\r?\n[ \t>]*+|(?:\\r)?\\n)(?!-----)([A-Za-z0-9+/_=.~-]++)(?=[ \t]*+(?:\r?\n|\Z)|[\\\"'])")
+END = re.compile(r"(?:\s|\\[rn]|[\"'])*+-----END")
 REACH = 80  # characters after the word of context
+MIN_CHARS = 12
+WRAPPED = 40  # characters from which on lines of one length belong together
 AROUND = 200  # characters on either side that prime the compressor
 MIN_NOVELTY = 0.55  # marginal bytes a byte
 MIN_MARGINAL = 9  # bytes
@@ -124,25 +129,49 @@ def wordlike(word: str) -> bool:
 
 
 def find(text: str | None, min_novelty: float = MIN_NOVELTY) -> list[tuple[str, int, int, int, float]]:
-    """All spans (kind, start, end, marginal bytes, novelty) by start, then kind."""
+    """All spans (kind, start, end, marginal bytes, novelty) by start, then kind.
+
+    A candidate that is reported goes on over following lines of one run each: those that are reported by themselves,
+    those of the same length where it is long, and the shorter last one of such lines or before an end mark."""
     text = text or ""
     base = base_spans(text)
     out = [(*s, *novelty(text, s[1], s[2])) for s in base]
     known = sorted((a, b) for _, a, b in base)
     past = k = 0  # behind the last candidate; the first base span that may reach the next one
+
+    def judge(start, end, sure=False):
+        """Whether the candidate is reported or a base span; reports it. sure: without measuring it."""
+        nonlocal past, k
+        past = end
+        while k < len(known) and known[k][1] <= start:
+            k += 1
+        if any(a < end and start < b for a, b in known[k : k + 2 * len(KINDS)]):
+            return True
+        if not sure and (end - start < MIN_CHARS or wordlike(text[start:end])):
+            return False
+        marginal, rate = novelty(text, start, end)
+        if not sure and (rate < min_novelty or marginal < MIN_MARGINAL):
+            return False
+        out.append(("novel", start, end, marginal, rate))
+        return True
+
     for context in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, context.end(), min(len(text), context.end() + REACH)):
+        for m in RUN.finditer(text, context.end(), min(len(text), context.end() + REACH)):
             if m.start() < past:
                 continue
-            span = m.start(), RUN.match(text, m.end()).end()  # one that goes on beyond the reach is taken whole
-            past = span[1]
-            while k < len(known) and known[k][1] <= span[0]:
-                k += 1
-            if wordlike(text[span[0] : span[1]]) or any(a < span[1] and span[0] < b for a, b in known[k : k + 2 * len(KINDS)]):
+            start, end = m.start(), RUN.match(text, m.start()).end()  # one that goes on beyond the reach is taken whole
+            start += text[start - 1] == "\\" and text[start] in "nrt"  # the letter of an escaped break
+            if end - start < MIN_CHARS or not judge(start, end):
                 continue
-            marginal, rate = novelty(text, *span)
-            if rate >= min_novelty and marginal >= MIN_MARGINAL:
-                out.append(("novel", *span, marginal, rate))
+            wrapped = last = False
+            while not last and (line := NEXT_LINE.match(text, end)):
+                width, size = end - start, len(line[1])
+                same = size == width >= WRAPPED
+                last = size < width >= WRAPPED and bool(wrapped and not wordlike(line[1]) or END.match(text, line.end()))
+                if not judge(*line.span(1), sure=same or last):
+                    break
+                wrapped = wrapped or same
+                start, end = line.span(1)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

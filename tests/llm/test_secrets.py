@@ -72,3 +72,23 @@ def test_words_and_usual_numbers_stay():
     words = "responsibilities internationalization Geschwindigkeitsbegrenzung Verantwortlichkeiten constitutionnellement responsabilidades configuration-management AUTHENTICATION_FAILED org.example.project/settings 192.168.100.200 2024-01-31-12-30-00 20240131123000 ---------------- =-=-=-=-=-=- +----+------+---+ 000000000000"
     for word in words.split():
         assert novel(f"the token {word} of it") == []
+
+
+def test_candidates_may_end_beyond_the_reach():
+    secret = "q9X7zLw2Tt0BvY5kRr8N"
+    for gap in (60, 69, 79):
+        assert novel("bearer" + ("of it " * 20)[: gap - 1] + " " + secret + " or so") == [secret]
+    assert novel("bearer" + " " * 80 + secret) == []
+
+
+def test_keys_of_many_lines_are_whole():
+    rng = random.Random(6)
+    body = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64 * 20 + 9)) + "x=="
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    lines[7] = "A" * 64
+    for gap in ("\n", "\r\n", "\\n", "\n    "):
+        assert novel(gap.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----", "thanks2all", "and so on"])) == lines
+    assert novel("\n".join(["private key", *lines, "", "thanks"])) == lines
+    assert novel("\n".join(["private key", *lines[:3], "thanks", "for it"])) == lines[:3]
+    assert novel(f"bearer {lines[0][:44]}\nfile2.txt\nresponsibilities\n") == [lines[0][:44]]
+    secrets.find("private key\n" + "\n".join(lines * 300))
