@@ -21,14 +21,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the least doc_id stays; of rows with the same doc_id and
-    text, one. Documents without words or near copies stay."""
+    """Of each class of near copies one document stays: that with the least doc_id (nulls last), then the least text_id;
+    of rows with the same doc_id and text, one. Documents without words or near copies stay."""
     rows, back = common.shield(docs, USED)
-    classes = jaccard.near_duplicates(rows)
-    firsts = classes.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).distinct()
+    classes = jaccard.near_duplicates(rows).where(F.col("label").isNotNull() & F.col("class_id").eqNullSafe(F.col("doc_id")))
+    firsts = classes.groupBy("label").agg(F.first("class_id").alias("__id"), F.min("text_id").alias("__text")).drop("label")
     keyed = rows.withColumn("text_key", F.unhex(F.md5("text")))
     kept = keyed.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_key").eqNullSafe(F.col("__text")), "left_semi")
-    return back(kept.dropDuplicates(["doc_id", "text_key"]))
+    wordless = keyed.where(~F.coalesce(F.col("text"), F.lit("")).rlike(common.SPACE_WORD))
+    return back(kept.dropDuplicates(["doc_id", "text_key"]).unionByName(wordless))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline as pipeline
 from findery.llm import jaccard, pii
 
@@ -35,6 +37,19 @@ def test_stages(spark, docs_of, words, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == len(mixed)
 
 
+def test_one_document_of_each_class_stays(spark, docs_of, words, tmp_path):
+    a, b, c = words(90, "a").split(), words(90, "b").split(), words(90, "c").split()
+    near = lambda w, k: " ".join([*w[:-1], f"end{k}"])
+    rows = [(1, near(a, k), "xx", "s") for k in range(4)] + [(2, near(a, 9), "xx", "s")] + [(None, near(b, k), "xx", "s") for k in range(4)] + [(None, near(c, 1), "xx", "s"), (9, near(c, 2), "xx", "s"), (9, near(c, 2), "xx", "s")]
+    rows += [(i, t, "xx", "s") for i in (5, 5, None, None) for t in (None, "", " \n\t")]
+    out = pipeline.near_duplicates(spark, docs_of(rows), str(tmp_path)).collect()
+    worded = [(r.doc_id, r.text) for r in out if r.text and r.text.strip()]
+    key = lambda t: hashlib.md5(t.encode()).digest()
+    first = lambda w: min((near(w, k) for k in range(4)), key=key)
+    assert sorted(worded, key=str) == sorted([(1, first(a)), (None, first(b)), (9, near(c, 2))], key=str)
+    assert len(out) - len(worded) == 12
+
+
 def test_empty_documents(spark, docs_of, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
