@@ -34,7 +34,7 @@ MIN_WORDS = 80  # nor by common words
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.48  # at most; see word_limit
 #: Common words that a text of its length should hold, and the part of the distance of a text with none that is allowed.
-EXPECTED, ALLOWED = (24, 90), (0.98, 0.72)
+EXPECTED, ALLOWED = (24, 90, 150), (0.98, 0.80, 0.72)
 MIN_EXPECTED = 20  # where the reference leads to fewer, nothing follows from their absence
 FLUSH_WORDS = 100_000  # distinct words that a task counts before it passes them on
 

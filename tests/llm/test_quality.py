@@ -89,7 +89,7 @@ def test_texts_without_common_words_go(docs_of):
 def test_word_limit():
     usual = np.array([*[10.0] * 30, 700.0])
     none = quality.js_distance(np.append(np.zeros(30), 1), usual)
-    limits = [quality.word_limit(n, usual) for n in (80, 150, 300, 10_000)]
+    limits = [quality.word_limit(n, usual) for n in (80, 150, 500, 10_000)]
     assert limits == sorted(limits, reverse=True) and limits[0] < none < quality.MAX_WORD_DISTANCE and limits[2] == limits[3] > 0.7 * none
     assert quality.word_limit(100, np.array([1.0, 99.0])) == np.inf  # one common word expected: none is no sign
     assert quality.word_limit(100, np.array([90.0, 10.0])) == quality.MAX_WORD_DISTANCE
