@@ -21,6 +21,8 @@ SPACE_GAP = r"[\x20\x09-\x0D]+"
 PLAIN_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates lower-cased ASCII or any other words
 ROWS_PER_SLICE = 512
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20  # of a batch that goes to Python
+HOT_ROWS = 1000  # of one key, from which its rows are dealt out for a join
+HOT_KEYS = 1000  # that a list may name
 BROADCAST_ROWS = 200_000  # of two or three narrow columns: some tens of MB at most
 
 
@@ -79,6 +81,22 @@ def join_params(big: DataFrame, params: DataFrame, on: str, rows: int = BROADCAS
     return left.join(right, cond, "left").drop("__key", "__salt", "__row_salt")
 
 
+def join_hot(big: DataFrame, params: DataFrame, on: str, n: str, hot: int = HOT_ROWS, keys: int = HOT_KEYS, salts: int = 64) -> DataFrame:
+    """Inner join of rows with one row of parameters a key, of which n says how many rows of big have it (or more).
+
+    Rows of keys with more than hot of them are joined apart, so that no task gets them all: up to so many keys are
+    told by a list and their parameters broadcast; more of them are joined with salts. Keys aren't null."""
+    many = params.where(F.col(n) > hot)
+    listed = [r[0] for r in many.select(on).limit(keys + 1).collect()]
+    if len(listed) <= keys:
+        is_hot = F.col(on).isin(listed) if listed else F.lit(False)
+        cold = big.where(~is_hot).join(params.where(F.col(n) <= hot), on)
+        return cold.unionByName(big.where(is_hot).join(F.broadcast(many), on)) if listed else cold
+    marked = join_params(big, many, on, salts=salts)
+    cold = marked.where(F.col(n).isNull()).select(*big.columns).join(params.where(F.col(n) <= hot), on)
+    return marked.where(F.col(n).isNotNull()).unionByName(cold)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -137,3 +137,11 @@ def test_join_params(spark):
     for rows in (100, 0):
         got = sorted((str(r.k), r.i, str(r.p)) for r in common.join_params(big, params, "k", rows, 4).collect())
         assert got == sorted((str(k), i, str({"a": 1, "b": 2, None: 3}.get(k))) for i, k in enumerate(["a"] * 50 + ["b", None, None, "z"]))
+
+
+def test_join_hot(spark):
+    big = spark.createDataFrame([(k, i) for i, k in enumerate(["a"] * 50 + ["b", "b", "z"])], "k string, i int")
+    params = spark.createDataFrame([("a", 50, "x"), ("b", 2, "y"), ("c", 1, "w")], "k string, n int, p string")
+    for hot, keys in ((1000, 9), (10, 9), (0, 9), (0, 1)):
+        got = sorted((r.k, r.i, r.n, r.p) for r in common.join_hot(big, params, "k", "n", hot, keys).collect())
+        assert got == [*(("a", i, 50, "x") for i in range(50)), ("b", 50, 2, "y"), ("b", 51, 2, "y")]
