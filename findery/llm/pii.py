@@ -7,7 +7,7 @@ finds. Spans are in code points, the end exclusive. Kinds:
 email, ip, card, phone   the base kinds; for each, matches are leftmost and don't overlap, a match that fails
                          its check is dropped and not tried again from within
 iban                     two letters, two digits, 11 to 30 letters or digits, single blanks allowed; mod 97 is 1
-account                  after a cue (account, acct, konto, compte, cuenta, ssn, passport ...): 6 to 20 digits with
+account                  after a cue that is a word of its own (account, acct, konto, compte, cuenta, ssn, passport ...): 6 to 20 digits with
                          single blanks or hyphens, not part of another span
 link                     a scheme with a user name before an at-sign, or mailto: or tel: with what follows it
 """
@@ -31,7 +31,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 ALNUM = LABEL - {"-"}
 PHONE = frozenset(" ().0123456789-")
-CUES = ("account", "acct", "konto", "kontonummer", "compte", "cuenta", "iban", "ssn", "social security", "passport", "steuernummer", "dni")
+CUES = ("account", "acct", "konto", "kontonummer", "bankkonto", "girokonto", "compte", "cuenta", "iban", "ssn", "social security", "passport", "steuernummer", "dni")
 SCHEMES = ("://", "mailto:", "tel:")
 
 _PATH = re.compile("[/?#]")
@@ -102,6 +102,12 @@ def parse_ip(text: str, start: int) -> int:
     return at
 
 
+def is_octet(digits: str) -> bool:
+    """Whether a run of digits of any length, leading zeros included, is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def parse_card(text: str, start: int) -> int:
     """End of the chain of digits with at most one blank or hyphen between two, which begins here."""
     n, at = len(text), start + 1
@@ -146,7 +152,7 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
                 after_run = digit_run(text, last)
                 if last >= free["ip"] and (end := parse_ip(text, last)):
                     free["ip"] = end
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text[last:end].split(".")):
+                    if all(map(is_octet, text[last:end].split("."))):
                         found["ip"].append((last, end))
             if last >= free["card"]:
                 free["card"] = end = parse_card(text, last)
@@ -165,7 +171,9 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
         elif what == "scheme":
             links.append((last - length + 1, last + 1))
         else:
-            cues.append(last + 1)
+            start = last + 1 - length
+            if not start or not text[start - 1].isalnum():  # else the cue ends a longer word
+                cues.append(last + 1)
     for start, end in links:
         if end > tail:
             tail = _LINK.match(text, end).end()  # of schemes in one run of signs, the first has looked for its end
@@ -265,6 +273,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
 
 def op1_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, numbers of the base kinds, a digest of the base spans and all spans as a string."""
     docs = find_pii(common.load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     part = lambda kinds: F.filter("pii", lambda s: s["kind"].isin(*kinds))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -277,7 +286,7 @@ def brute_base(text: str | None) -> list[tuple[str, int, int]]:
     text = text or ""
     rules = {
         "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(map(is_octet, m.split(".")))),
         "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(d := re.sub(r"[ -]", "", m)) <= 19 and luhn(d)),
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
     }

@@ -58,3 +58,21 @@ def test_query_on_a_folder(spark, docs_of, tmp_path):
     rows = {r.doc_id: r for r in pii.op1_anchor_expansion(spark, str(tmp_path)).collect()}
     assert rows[1].spans == "" and rows[1].base_sha256 == pii.digest([])
     assert rows[2].spans == "email:0:6,ip:11:19" and rows[2].base_sha256 == pii.digest(pii.brute_base("a@b.cd and 10.0.0.1")) and rows[2].n_email == 1
+
+
+def test_cues_are_words_of_their_own():
+    for text in ("Taliban 123456", "ordni 1234567", "wordssn: 123456", "3account 123456", "éssn 123456"):
+        assert pii.find(text, ANCHORS) == []
+    for text in ("Bankkonto 123456", "(ssn) 123456", "SSN: 123456", "Kontonummer 12345678", "_dni 1234567"):
+        assert [s[0] for s in pii.find(text, ANCHORS)] == (["account"] if text != "(ssn) 123456" else [])
+
+
+def test_very_long_runs_through_the_query(spark, docs_of, tmp_path):
+    """Longer than Python turns into a number, and longer than any span."""
+    texts = ["1.2.3." + "0" * 5000, "1.2.3." + "0" * 5000 + "7", "1.2.3." + "9" * 5000, "account " + "1" * 100_000, "+1" + "2" * 50_000, "a@" + "b." * 50_000 + "c", "x" * 1_000_000]
+    docs_of(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in pii.op1_anchor_expansion(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts[:3]):  # the expressions take too long for the others
+        want = pii.brute_base(text)
+        assert rows[i].base_sha256 == pii.digest(want) and rows[i].n_ip == sum(s[0] == "ip" for s in want)
+    assert [rows[i].n_ip for i in range(3)] == [1, 1, 0] and rows[5].n_email == 1 and not any(rows[i].spans for i in (3, 4, 6))
