@@ -1,15 +1,19 @@
 """Token counts as rollups that deltas maintain (operator 4).
 
 A ledger holds, for each committed batch, the signed sums of its documents and tokens by source, language and
-tokenizer version. Inserts add, deletes subtract, revised counts do both, maybe under another version. Totals are
-sums over batches, so they never need the documents again. A batch is written aside and renamed into place under its
-id: a batch that is there is not taken a second time, and a task or driver that fails leaves nothing that counts."""
+tokenizer version. Inserts add, deletes subtract, revised counts do both, maybe under another version. Totals are kept
+by compactions and never need the documents again: what is read is the latest totals and the batches since. A batch
+counts from the moment that a file of its id is there, which only one driver can put there; a task or driver that fails
+leaves nothing that counts."""
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,9 @@ FIRST, SECOND = "byte_bpe_50k", "byte_bpe_multi_50k"
 #: How byte-level BPE cuts text before merging; part of the public vocabulary's definition.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEYS = ("source", "lang", "tokenizer")
+SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+#: Runs of white space that are cut out before the pattern, which steps back once for each of their characters.
+LONG_GAP = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
 
 
 def encoder(name: str, folder: str = TOKENIZERS):
@@ -31,6 +38,17 @@ def encoder(name: str, folder: str = TOKENIZERS):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def n_tokens(own, text: str | None) -> int:
+    """Tokens of a text. The pattern makes a run of white space one piece but for its last character, which may lead the
+    next word, or as a whole at the end of the text; long runs are cut there."""
+    text, total, at = text or "", 0, 0
+    for m in LONG_GAP.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(own.encode_ordinary(text[at : m.start()])) + len(own._encode_single_piece(text[m.start() : end]))
+        at = end
+    return total + len(own.encode_ordinary(text[at:]))
+
+
 def count_tokens(docs: DataFrame, names: dict[str, str], folder: str = TOKENIZERS) -> DataFrame:
     """docs with a column for each tokenizer: names maps columns to vocabularies. Null and empty texts count 0.
 
@@ -46,7 +64,7 @@ def count_tokens(docs: DataFrame, names: dict[str, str], folder: str = TOKENIZER
             out = []
             for column, e in encoders.items():
                 on = wanted.get(f"do_{column}", [True] * len(texts))
-                out.append([len(e.encode_ordinary(t or "")) if o else None for t, o in zip(texts, on, strict=True)])
+                out.append([n_tokens(e, t) if o else None for t, o in zip(texts, on, strict=True)])
             return out
 
         return step
@@ -55,43 +73,104 @@ def count_tokens(docs: DataFrame, names: dict[str, str], folder: str = TOKENIZER
 
 
 class Ledger:
-    """Signed sums of batches in a folder that driver and executors share."""
+    """Signed sums of batches in a folder that driver and executors share.
+
+    data/ has the sums of batches and of compactions under names of their own. What counts is told by small files:
+    batches/<id> names the data of a batch, totals/<number> those of a compaction and the batches that it holds. They are
+    written aside and renamed to a name that must be free, so of two drivers one commits; data that no file names
+    don't count."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._at("").getFileSystem(conf)
+        self._files = self._hadoop.FileContext.getFileContext(self._fs.makeQualified(self._at("")).toUri(), conf)
+
+    def _at(self, name: str):
+        return self._hadoop.Path(f"{self.folder}/{name}")
+
+    def _publish(self, name: str, said: dict) -> bool:
+        """A small file under a free name, whole or not at all; False if the name is taken."""
+        aside = self._at(f"pending/{uuid.uuid4().hex}")
+        stream = self._fs.create(aside, False)
+        stream.write(json.dumps(said).encode())
+        stream.close()
+        self._fs.mkdirs(self._at(name).getParent())
+        keep = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
+        keep[0] = self._hadoop.Options.Rename.NONE
+        try:
+            self._files.rename(aside, self._at(name), keep)
+        except Py4JJavaError as error:
+            self._fs.delete(aside, False)
+            if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._at(name))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def _at(self, batch: str):
+    def _names(self, folder: str) -> list[str]:
+        if not self._fs.exists(self._at(folder)):
+            return []
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._at(folder)))
+
+    def has(self, batch: str) -> bool:
         if not batch or not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"a batch id has letters, digits, - and _ only: {batch!r}")
-        return self._path(f"{self.folder}/batches/{batch}")
+        return self._fs.exists(self._at(f"batches/{batch}"))
 
-    def has(self, batch: str) -> bool:
-        return self._fs.exists(self._at(batch))
+    def _store(self, sums: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        sums.write.parquet(f"{self.folder}/data/{name}")
+        return name
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """changes (source, lang, tokenizer, sign, n_tokens): sign is 1 or -1, null tokens count 0. Sums are taken
-        before the shuffle. False if the batch is there already; then changes aren't looked at."""
-        target = self._at(batch)
-        if self._fs.exists(target):
+        before the shuffle. False if the batch is there already; then changes don't count."""
+        if self.has(batch):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
-        aside = f"{self.folder}/pending/{uuid.uuid4().hex}"
-        sums.write.parquet(aside)
-        self._fs.mkdirs(target.getParent())
-        if self._fs.exists(target) or not self._fs.rename(self._path(aside), target):
-            common.remove(self.spark, aside)  # another driver was first
+        name = self._store(sums)
+        if self._publish(f"batches/{batch}", {"data": name}):
+            return True
+        common.remove(self.spark, f"{self.folder}/data/{name}")  # another driver was first
+        return False
+
+    def _current(self) -> tuple[dict, list[str]]:
+        """What the latest compaction says, and the batches since."""
+        told = self._names("totals")
+        latest = self._read(f"totals/{told[-1]}") if told else {"data": None, "batches": [], "number": 0}
+        return latest, [b for b in self._names("batches") if b not in set(latest["batches"])]
+
+    def _sums(self, latest: dict, batches: list[str]) -> DataFrame:
+        names = [latest["data"]] * (latest["data"] is not None) + [self._read(f"batches/{b}")["data"] for b in batches]
+        if not names:
+            return self.spark.createDataFrame([], SUMS)
+        rows = self.spark.read.schema(SUMS).parquet(*(f"{self.folder}/data/{n}" for n in names))
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def compact(self) -> bool:
+        """Adds the batches since the latest compaction to its totals, which are then read in their place. False if there
+        are none, or another driver was first. Batches stay known under their ids."""
+        latest, batches = self._current()
+        if not batches:
             return False
-        return True
+        number, name = latest["number"] + 1, self._store(self._sums(latest, batches))
+        if self._publish(f"totals/{number:012d}", {"data": name, "batches": sorted([*latest["batches"], *batches]), "number": number}):
+            return True
+        common.remove(self.spark, f"{self.folder}/data/{name}")
+        return False
 
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens over all batches; groups without documents are left out."""
-        schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-        if not self._fs.exists(self._path(f"{self.folder}/batches")):
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/batches/*")
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        """source, lang, tokenizer, n_docs, n_tokens: the latest compaction and the batches since; groups without
+        documents are left out."""
+        return self._sums(*self._current()).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
 
 def change(rows: DataFrame, sign: int, tokenizer: str, n_tokens: Column) -> DataFrame:
@@ -109,5 +188,6 @@ def op4_delta_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.commit("insert", change(rows, 1, f"{FIRST}@1", F.col("n_first")))
     for _ in range(2):
         ledger.commit("delete", change(rows.where("part = 0"), -1, f"{FIRST}@1", F.col("n_first")))
+    ledger.compact()
     ledger.commit("revise", change(revised, -1, f"{FIRST}@1", F.col("n_first")).unionByName(change(revised, 1, f"{SECOND}@2", F.col("n_second"))))
     return ledger.totals()

@@ -69,6 +69,56 @@ def test_ledger_survives_a_failed_batch(spark, tmp_path):
     assert ledger.totals().count() == 0 and ledger.commit("one", good) and ledger.totals().first().n_tokens == 4
 
 
+def test_two_committers(spark, tmp_path, monkeypatch):
+    """Both have seen that the batch isn't there; the sums of one count."""
+    first, second = (tokens.Ledger(spark, f"file://{tmp_path}/ledger") for _ in range(2))
+    schema = "source string, lang string, tokenizer string, sign int, n_tokens long"
+    one, two = (spark.createDataFrame([("a", "en", "t", 1, n)], schema) for n in (4, 7))
+    store = tokens.Ledger._store
+    taken = []
+
+    def late(self, sums):
+        if self is second:
+            taken.append(first.commit("x", one))
+        return store(self, sums)
+
+    monkeypatch.setattr(tokens.Ledger, "_store", late)
+    assert not second.commit("x", two) and taken == [True]
+    assert [tuple(r) for r in second.totals().collect()] == [("a", "en", "t", 1, 4)] and len(first._names("data")) == 1 and first._names("pending") == []
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    ledger = tokens.Ledger(spark, f"file://{tmp_path}/ledger")
+    schema = "source string, lang string, tokenizer string, sign int, n_tokens long"
+    batch = lambda k, n: ledger.commit(k, spark.createDataFrame([("a", None, "t", 1 if n > 0 else -1, abs(n))], schema))
+    totals = lambda: [tuple(r) for r in ledger.totals().collect()]
+    assert not ledger.compact() and batch("a", 5) and batch("b", 6) and ledger.compact() and not ledger.compact()
+    assert totals() == [("a", None, "t", 2, 11)] and not batch("a", 5) and batch("c", -5) and totals() == [("a", None, "t", 1, 6)]
+    with monkeypatch.context() as m:  # a driver that is lost before the totals are published
+        m.setattr(ledger, "_publish", lambda name, said: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ledger.compact()
+    assert totals() == [("a", None, "t", 1, 6)] and ledger.compact() and totals() == [("a", None, "t", 1, 6)]
+    assert len(ledger._names("totals")) == 2 and batch("d", -6) and totals() == []
+
+
+def test_long_white_space_keeps_its_tokens():
+    own = tokens.encoder(tokens.FIRST)
+    rng = random.Random(3)
+    for run in (" " * 20_000, "\n" * 20_001, " \n\t" * 9_000, "\u3000 " * 15_000):
+        for text in (f"a{run}b", f"{run}b", f"a {run}", f"a{run}", f"x,{run}1{run} \u00e9{run}", run):
+            assert tokens.n_tokens(own, text) == len(own.encode_ordinary(text))
+    for _ in range(200):
+        text = "".join(rng.choice([" ", "\n", "a", "b1", "\x1c", "!"]) for _ in range(30))
+        assert tokens.n_tokens(own, text) == len(own.encode_ordinary(text))
+
+
+def test_a_million_blanks_through_the_query(spark, docs_of, tmp_path):
+    docs_of([(1, "a" + " " * 1_000_000 + "b", "en", "s"), (2, " " * 1_000_000, "en", "s")]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = tokens.op4_delta_rollup(spark, str(tmp_path)).collect()
+    assert sum(r.n_docs for r in rows) == 2 and all(r.n_tokens > 10 for r in rows)
+
+
 def test_token_counts_and_query(spark, docs_of, tmp_path):
     texts = [None, "", "hello world", "naïve <|endoftext|> 中文 text\n\n x", "a" * 5000, "hello world"]
     docs = docs_of([(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts)] + [(None, "x y", None, None)])
