@@ -4,8 +4,9 @@ A revisit says that a page was as in an earlier response, which holds the body.
 with the latest earlier full response of its canonical URL; the validators are checked (entity tag, else time of
 last modification), and the headers that a not-modified answer may change are merged over those of the original.
 
-The as-of join is two windows: one inside slices of time of a URL, and one over a row for each slice, which carries
-the latest response of the slices before. A URL with very many captures is dealt out over its slices."""
+Captures are dealt out by ranges of URL and time that hold about as many rows each, so a URL with very many captures
+is several slices, whatever its times are. The as-of join is two windows: one inside a slice of a URL, and one over a
+row for each slice of a URL, which carries the latest response of the slices before."""
 
 from __future__ import annotations
 
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SLICES = 1024  # of the whole span of time
 #: Headers that a not-modified answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't change what a URL names.
@@ -32,26 +32,26 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
     """records (record_id, url, ts long, status int, etag, last_modified, headers array<struct<name,value>>,
     n_bytes) -> one row a revisit (status 304): record_id, url_key, status, original_id, validator, n_bytes, headers.
 
     status is resolved, mismatch (a validator differs), unchecked (no validator to compare) or missing (no earlier
     full response; also for a null url or ts). Earlier means a lesser ts; of equal ones the greatest record_id is the
-    latest. Responses without ts are never original. Names of headers are lower-cased; a repeated name counts once,
-    with its last value by name and value. Other columns are left out."""
+    latest. Responses without ts are never original. headers are lines by lower-cased name; lines of a repeated name all
+    stay, in their order, and those of a permitted name in the revisit replace all of that name. Other columns are
+    left out. slices is the number of ranges, that of shuffle partitions if None."""
     given = ["record_id", "url", "ts", "status", "etag", "last_modified", "headers", "n_bytes"]
     rows = records.select(*given).where("status IN (200, 304)").withColumn("url_key", canonical(F.col("url")))
     full = F.when((F.col("status") == 200) & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "n_bytes", "headers"))
-    rows = common.stage(rows.select("record_id", "url_key", "ts", "status", "etag", "last_modified", "headers", full.alias("full")), "captures")
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // slices))
-    rows = rows.withColumn("slice", F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(width)).cast("long"))
+    rows = rows.select("record_id", "url_key", "ts", "status", "etag", "last_modified", "headers", full.alias("full"))
+    ranged = rows.repartitionByRange(*([slices] if slices else []), "url_key", "ts")  # equal times of a URL stay together
+    rows = common.stage(ranged.withColumn("slice", F.spark_partition_id()), "captures")
 
     inside = Window.partitionBy("url_key", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max("full").over(inside)).where("status = 304")
     by_slice = rows.where(F.col("full").isNotNull() & F.col("url_key").isNotNull()).groupBy("url_key", "slice").agg(F.max("full").alias("last"))
-    asked = near.where(F.col("near").isNull() & F.col("slice").isNotNull()).select("url_key", "slice").distinct().withColumn("last", F.lit(None).cast(by_slice.schema["last"].dataType))
+    asked = near.where(F.col("near").isNull() & F.col("url_key").isNotNull()).select("url_key", "slice").distinct().withColumn("last", F.lit(None).cast(by_slice.schema["last"].dataType))
     before = Window.partitionBy("url_key").orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
     carried = by_slice.unionByName(asked).withColumn("far", F.max("last").over(before)).groupBy("url_key", "slice").agg(F.max("far").alias("far"))
     found = near.join(carried, ["url_key", "slice"], "left").withColumn("o", F.when(F.col("url_key").isNotNull() & F.col("ts").isNotNull(), F.coalesce("near", "far")))
@@ -67,15 +67,14 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
 
 
 def merged(original: Column, update: Column) -> Column:
-    """Headers of the original with the permitted ones of the update in their place, as sorted lines."""
+    """Headers of the original with the permitted ones of the update in their place, as lines by name, then by place."""
     none = F.array().cast("array<struct<name:string,value:string>>")
     lower = lambda rows: F.transform(F.filter(F.coalesce(rows, none), lambda h: h["name"].isNotNull()), lambda h: F.struct(F.lower(h["name"]).alias("name"), F.coalesce(h["value"], F.lit("")).alias("value")))
     new = F.filter(lower(update), lambda h: h["name"].isin(*PERMITTED))
     names = F.transform(new, lambda h: h["name"])
     kept = F.filter(lower(original), lambda h: ~F.array_contains(names, h["name"]))
-    both = F.array_sort(F.concat(kept, new))
-    single = F.filter(both, lambda h, i: (i + 1 == F.size(both)) | (F.get(both, i + 1)["name"] != h["name"]))
-    return F.array_join(F.transform(single, lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    placed = F.transform(F.concat(kept, new), lambda h, i: F.struct(h["name"].alias("name"), i.alias("at"), h["value"].alias("value")))
+    return F.array_join(F.transform(F.array_sort(placed), lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
 
 
 def attach_payload(resolved: DataFrame, records: DataFrame, body: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_revisits_against_brute_force(spark):
         rows.append((i, url, ts, rng.choice([200, 304, 304, 404]), etag, rng.choice([None, "d1", "d2"]), [("Date", str(i))], i, "x"))
     df = spark.createDataFrame(rows, RECORD)
     plain = [r.asDict() for r in df.withColumn("url_key", revisits.canonical(F.col("url"))).collect()]
-    for slices in (1, 7, 1024):
+    for slices in (1, 7, None):
         got = sorted((r.record_id, r.status, r.original_id) for r in revisits.resolve(df, slices).collect())
         assert got == sorted(revisits.brute(plain))
     assert revisits.resolve(df.where("false")).count() == 0
@@ -45,6 +45,36 @@ def test_headers_are_merged(spark):
     assert {r.record_id: r.body for r in bodies.collect()} == {2: '"a"', 3: '"a"', 4: '"a"'}
 
 
+def test_repeated_headers_stay(spark):
+    old = [("Set-Cookie", "b=1"), ("Set-Cookie", "a=2"), ("Vary", "x"), ("vary", "y"), ("Set-Cookie", "b=1")]
+    rows = [(1, "u", 1, 200, '"a"', None, old, 9, "x"), (2, "u", 2, 304, '"a"', None, [("Vary", "w"), ("Vary", "v"), ("Set-Cookie", "no")], 0, "x"), (3, "u", 3, 304, '"a"', None, [], 0, "x")]
+    out = {r.record_id: r.headers for r in revisits.resolve(spark.createDataFrame(rows, RECORD)).collect()}
+    cookies = "set-cookie: b=1\nset-cookie: a=2\nset-cookie: b=1\n"
+    assert out == {2: cookies + "vary: w\nvary: v", 3: cookies + "vary: x\nvary: y"}
+
+
+def test_a_time_far_away_leaves_slices_even(spark):
+    """One URL holds all rows, and one of its times lies far from the others."""
+    rows = [(i, "u", i if i else 10**15, 200 if i % 3 else 304, None, None, None, i, "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, RECORD)
+    sizes = []
+    stage = common.stage
+
+    def seen(frame, name):
+        out = stage(frame, name)
+        if name == "captures":
+            sizes.extend(r["count"] for r in out.groupBy("slice").count().collect())
+        return out
+
+    common.stage = seen
+    try:
+        got = {r.record_id: r.original_id for r in revisits.resolve(df, 16).collect()}
+    finally:
+        common.stage = stage
+    assert len(sizes) == 16 and max(sizes) < 400
+    assert got[3] == 2 and got[1998] == 1997 and got[0] == 1999
+
+
 def test_ledger(spark, tmp_path):
     ledger = tokens.Ledger(spark, f"file://{tmp_path}/ledger")
     assert ledger.totals().count() == 0
@@ -143,10 +173,11 @@ def test_token_counts_and_query(spark, docs_of, tmp_path):
 TURNS = "conv_id long, turn long, role string, text string, start int, name string"
 
 
-@pytest.mark.parametrize("longest", [chat.LONGEST, 2])
-def test_rotation(spark, longest):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_rotation(spark, monkeypatch, hot):
+    monkeypatch.setattr(common.join_hot, "__defaults__", (hot, *common.join_hot.__defaults__[1:]))
     rows = [(1, 0, "system", "be nice", 0, "x"), (1, 1, "ann", "hi <|im_end|>", 0, "x"), (1, 2, "bob", "é", 0, "x"), (1, 3, None, None, 0, "x"), (1, 3, None, None, 0, "x"), (2, 0, "system", "alone", 0, "x"), (None, 5, "ann", "a", 0, "x"), (None, None, "bob", "b", 0, "x")]
-    out = chat.rotate(spark.createDataFrame(rows, TURNS), longest).collect()
+    out = chat.rotate(spark.createDataFrame(rows, TURNS)).collect()
     dialogues = {}
     for r in sorted(out, key=lambda r: r.start):
         dialogues.setdefault((r.conv_id, r.perspective), []).append(r)
@@ -164,6 +195,13 @@ def test_rotation(spark, longest):
     assert chat.rotate(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_a_name_stays_in_its_line(spark):
+    rows = [(1, 0, "a\nb<|im_end|>", "hi", 0, "x"), (1, 1, "bob\u2028x\r", "yo", 0, "x")]
+    out = {(r.perspective, r.turn): r for r in chat.rotate(spark.createDataFrame(rows, TURNS)).collect()}
+    assert out["bob\u2028x\r", 0].rendered == "<|im_start|>user name=a b< |im_end|>\nhi<|im_end|>\n" and out["bob\u2028x\r", 0].name == "a b< |im_end|>"
+    assert out["a\nb<|im_end|>", 1].rendered == "<|im_start|>user name=bob x \nyo<|im_end|>\n"
+
+
 def test_prefix_sums_over_ranges(spark):
     rows = [(i % 3 and 1 or None, i, i % 5) for i in range(500)]
     df = spark.createDataFrame(rows, "g int, o int, v int")
@@ -189,9 +227,10 @@ def test_join_params(spark):
         assert got == sorted((str(k), i, str({"a": 1, "b": 2, None: 3}.get(k))) for i, k in enumerate(["a"] * 50 + ["b", None, None, "z"]))
 
 
-def test_join_hot(spark):
+@pytest.mark.parametrize(("hot", "keys", "rows"), [(1000, 9, 9), (10, 9, 9), (0, 9, 9), (0, 1, 9), (10, 9, 0), (0, 1, 0)])
+def test_join_hot(spark, monkeypatch, hot, keys, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     big = spark.createDataFrame([(k, i) for i, k in enumerate(["a"] * 50 + ["b", "b", "z"])], "k string, i int")
-    params = spark.createDataFrame([("a", 50, "x"), ("b", 2, "y"), ("c", 1, "w")], "k string, n int, p string")
-    for hot, keys in ((1000, 9), (10, 9), (0, 9), (0, 1)):
-        got = sorted((r.k, r.i, r.n, r.p) for r in common.join_hot(big, params, "k", "n", hot, keys).collect())
-        assert got == [*(("a", i, 50, "x") for i in range(50)), ("b", 50, 2, "y"), ("b", 51, 2, "y")]
+    params = spark.createDataFrame([("a", 50, "x"), ("a", 50, "v"), ("b", 2, "y"), ("c", 1, "w")], "k string, n int, p string")
+    got = sorted((r.k, r.i, r.n, r.p) for r in common.join_hot(big, params, "k", "n", hot, keys, 4).collect())
+    assert got == sorted([*(("a", i, 50, p) for i in range(50) for p in "xv"), ("b", 50, 2, "y"), ("b", 51, 2, "y")])
