@@ -82,19 +82,29 @@ def join_params(big: DataFrame, params: DataFrame, on: str, rows: int = BROADCAS
 
 
 def join_hot(big: DataFrame, params: DataFrame, on: str, n: str, hot: int = HOT_ROWS, keys: int = HOT_KEYS, salts: int = 64) -> DataFrame:
-    """Inner join of rows with one row of parameters a key, of which n says how many rows of big have it (or more).
+    """Inner join of rows with parameters of keys, of which n says how many rows of big have the key (or more).
 
     Rows of keys with more than hot of them are joined apart, so that no task gets them all: up to so many keys are
-    told by a list and their parameters broadcast; more of them are joined with salts. Keys aren't null."""
+    told by a list, more by a join. Their parameters are broadcast if counted to be few, else copied to salts. Keys
+    aren't null."""
     many = params.where(F.col(n) > hot)
-    listed = [r[0] for r in many.select(on).limit(keys + 1).collect()]
+    listed = [r[0] for r in many.select(on).distinct().limit(keys + 1).collect()]
+    cold = params.where(F.col(n) <= hot)
+    if not listed:
+        return big.join(cold, on)
     if len(listed) <= keys:
-        is_hot = F.col(on).isin(listed) if listed else F.lit(False)
-        cold = big.where(~is_hot).join(params.where(F.col(n) <= hot), on)
-        return cold.unionByName(big.where(is_hot).join(F.broadcast(many), on)) if listed else cold
-    marked = join_params(big, many, on, salts=salts)
-    cold = marked.where(F.col(n).isNull()).select(*big.columns).join(params.where(F.col(n) <= hot), on)
-    return marked.where(F.col(n).isNotNull()).unionByName(cold)
+        is_hot = F.col(on).isin(listed)
+    else:
+        big = join_params(big, many.select(on).distinct().withColumn("__is_hot", F.lit(True)), on, salts=salts)
+        is_hot = F.col("__is_hot").isNotNull()
+    warm = big.where(is_hot)
+    if many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        warm = warm.join(F.broadcast(many), on)
+    else:
+        dealt = many.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salt = F.pmod(F.xxhash64(*warm.columns), F.lit(salts)).cast("int")
+        warm = warm.withColumn("__salt", salt).join(dealt, [on, "__salt"]).drop("__salt")
+    return big.where(~is_hot).join(cold, on).unionByName(warm).drop("__is_hot")
 
 
 def lower_ascii(text: Column) -> Column:
