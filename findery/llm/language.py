@@ -4,20 +4,29 @@ The kernel of two texts is the number of distinct character n-grams (n = 1 to 4)
 root of the product of how many each has: a blended-spectrum presence kernel. Nystrom landmarks span the feature
 space; a kernel ridge regression for each language against the rest is fitted there. Scoring a batch is a product
 of its presence rows with the landmarks' rows and then with the weights; both factors are multiplied once after the
-fit, since the norm of a text is a factor of its row alone."""
+fit, since the norm of a text is a factor of its row alone.
+
+The fit takes a bounded sample of labelled rows: at most FIT_ROWS a language, of texts of up to FIT_CHARS characters (a
+language with fewer such texts adds up to FIT_LONG longer ones), of the MAX_LANGUAGES languages with the most rows. Other
+languages aren't learned. Every text is scored as a whole."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Parameters of production. Rows of each language that the fit may use bound what the driver collects.
+#: Parameters of production. The first five bound what the driver collects and fits.
 FIT_ROWS = 160
-LANDMARKS = 48
+FIT_CHARS = 20_000
+FIT_LONG = 4
 MAX_LANGUAGES = 200
+MAX_LANDMARKS = 2_400  # of all languages
+LANDMARKS = 48  # of one
 ORDERS = (1, 2, 3, 4)
 RIDGE = 1e-3
 SYMBOLS = 61  # of the alphabet, besides the blank (0) and two for letters and for signs outside it
@@ -97,7 +106,22 @@ class Model:
         return out / np.sqrt(np.maximum(sizes, 1))[:, None]
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+def kernels(sets: list[np.ndarray], chosen: list[np.ndarray]) -> np.ndarray:
+    """The kernel of each set with each chosen one, by lists of the sets that have an n-gram."""
+    sizes = [len(c) for c in chosen]
+    codes, owner = np.concatenate(chosen), np.repeat(np.arange(len(chosen)), sizes)
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    out = np.zeros((len(sets), len(chosen)))
+    for row, own in zip(out, sets, strict=True):
+        low, n = np.searchsorted(codes, own, "left"), np.searchsorted(codes, own, "right")
+        n -= low
+        places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        row += np.bincount(owner[places], minlength=len(chosen)) / np.sqrt(len(own) * np.array(sizes))
+    return out
+
+
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, most: int = MAX_LANDMARKS) -> Model | None:
     """rows: (text, lang) in a fixed order; the first ones of each language are its landmarks."""
     rows = [(t, g) for t, g in rows if t and g is not None and has_letter(t)]
     if not rows:
@@ -108,50 +132,53 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     sets = [grams.of(t) for t, _ in rows]
     chosen, per = [], dict.fromkeys(languages, 0)
     for i, (_, g) in enumerate(rows):
-        if per[g] < landmarks:
+        if per[g] < max(1, min(landmarks, most // len(languages))):
             per[g] += 1
             chosen.append(i)
-    vocabulary = np.unique(np.concatenate([sets[i] for i in chosen]))
-    spread = np.zeros((len(chosen), len(vocabulary)), np.float32)
-    for k, i in enumerate(chosen):
-        spread[k, np.searchsorted(vocabulary, sets[i])] = 1 / np.sqrt(len(sets[i]))
-    presence = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for k, s in enumerate(sets):
-        at = np.minimum(np.searchsorted(vocabulary, s), len(vocabulary) - 1)
-        presence[k, at[vocabulary[at] == s]] = 1 / np.sqrt(len(s))
-    kernel = (presence @ spread.T).astype(float)  # texts by landmarks
-    middle = (spread @ spread.T).astype(float)
-    values, vectors = np.linalg.eigh(middle)
+    marks = [sets[i] for i in chosen]
+    kernel = kernels(sets, marks)  # texts by landmarks
+    values, vectors = np.linalg.eigh(kernel[chosen])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nystrom features are kernel @ root
     features = kernel @ root
     targets = np.array([[1.0 if g == lang else 0.0 for lang in languages] for _, g in rows])
-    balance = np.array([1 / sum(1 for _, h in rows if h == g) for _, g in rows])[:, None]
+    number = Counter(g for _, g in rows)
+    balance = np.array([1 / number[g] for _, g in rows])[:, None]
     gram = features.T @ (features * balance) + ridge * np.eye(features.shape[1])
-    solved = np.linalg.solve(gram, features.T @ (targets * balance))
-    return Model(alphabet, vocabulary, spread.T.astype(float) @ (root @ solved), languages)
+    parts = root @ np.linalg.solve(gram, features.T @ (targets * balance)) / np.sqrt([len(m) for m in marks])[:, None]
+    vocabulary, place = np.unique(np.concatenate(marks), return_inverse=True)
+    owner = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+    weights = np.stack([np.bincount(place, parts[owner, k], len(vocabulary)) for k in range(len(languages))], 1)
+    return Model(alphabet, vocabulary, weights, languages)
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit_rows(docs: DataFrame, cap: int = FIT_ROWS, languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
-    """At most cap labelled rows of each of the most frequent languages, chosen by a hash of doc_id and text.
+def fit_rows(docs: DataFrame, cap: int = FIT_ROWS, languages: int = MAX_LANGUAGES, chars: int = FIT_CHARS, long: int = FIT_LONG) -> list[tuple[str, str]]:
+    """At most cap labelled rows of each of the most frequent languages, by a hash of doc_id and text, so null and
+    repeated ids don't matter; rows that agree in both count once. Texts of up to chars characters come first, and no
+    more than long others.
 
-    The counts of the languages set the share of hashes that is read, so no group is ever gathered."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    Numbers of different hashes (estimates, taken twice over) set the share of them that is read, so no group is
+    gathered; the driver gets cap rows a language."""
+    spread = 1 << 30
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread)).alias("__h"), (F.length("text") > chars).alias("__long"))
+    different = lambda long: F.approx_count_distinct(F.when(F.col("__long") == long, F.col("__h")))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), different(False).alias("n_short"), different(True).alias("n_long")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return []
-    spread = 1 << 30
-    limit = F.lit(0)
-    for r in counts:
-        limit = F.when(F.col("lang") == r.lang, min(spread, 1 + 2 * cap * spread // r["count"])).otherwise(limit)
-    hashed = known.withColumn("__h", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).where(F.col("__h") < limit)
-    out, per = [], {}
-    for r in sorted(hashed.select("text", "lang", "__h").collect(), key=lambda r: (r["__h"], r.lang, r.text)):
-        per[r.lang] = per.get(r.lang, 0) + 1
+    share = lambda most, n: min(spread, 1 + 2 * most * spread // max(1, n))
+    limits = known.sparkSession.createDataFrame([(r.lang, share(cap, r.n_short), share(long, r.n_long)) for r in counts], "lang string, __short long, __far long")
+    hashed = known.join(F.broadcast(limits), "lang")
+    hashed = hashed.where(F.col("__h") < F.when(F.col("__long"), F.col("__far")).otherwise(F.col("__short")))
+    hashed = hashed.groupBy("lang", "__long", "__h").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang", "__long").orderBy("__h")
+    rows = hashed.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= F.when(F.col("__long"), long).otherwise(cap))
+    out, per = [], Counter()
+    for r in sorted(rows.collect(), key=lambda r: (r["__long"], r["__h"], r.lang)):
+        per[r.lang] += 1
         if per[r.lang] <= cap:
             out.append((r.text, r.lang))
     return out
@@ -182,6 +209,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op6_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, held_out, lang_pred, score; fitted on labelled rows that aren't held out."""
     docs = common.load(spark, sf_dir, "documents")
     model = fit(fit_rows(docs.select("doc_id", "text", "lang")))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -64,3 +64,28 @@ def test_held_out_accuracy():
     test = [(t, g) for i, t, g in rows if held(i) and language.has_letter(t)]
     best = model.score([made.of(t) for t, _ in test]).argmax(1)
     assert np.mean([model.languages[k] == g for k, (_, g) in zip(best, test, strict=True)]) > 0.97
+
+
+def test_the_fit_collects_few_rows(spark, monkeypatch):
+    """Null and repeated ids, equal rows and long texts."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(None, f"der hund {i}", "de") for i in range(3000)] + [(7, f"the dog {i}", "en") for i in range(2000)] + [(None, "le chat", "fr")] * 3000
+    rows += [(i, "una casa " * 100 + str(i), "es") for i in range(60)] + [(None, "uma casa", "pt")] * 3 + [(None, f"uma casa {i} " * 50, "pt") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen, collect = [], DataFrame.collect
+
+    def counted(self):
+        out = collect(self)
+        seen.append(len(out))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    found = language.fit_rows(docs, cap=20, chars=100, long=4)
+    per = {g: [t for t, h in found if h == g] for g in ("de", "en", "fr", "es", "pt")}
+    assert {g: len(t) for g, t in per.items()} == {"de": 20, "en": 20, "fr": 1, "es": 4, "pt": 5}
+    assert max(seen) <= 5 * 24 and per["pt"][0] == "uma casa"
+    assert language.fit_rows(docs, cap=20, chars=100, long=4) == found
+    assert {g for _, g in language.fit_rows(docs, cap=20, languages=2)} == {"de", "fr"}
+    monkeypatch.undo()
+    assert language.fit(found, most=5) is not None
