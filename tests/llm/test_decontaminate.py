@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from findery.llm import common, decontaminate
 
@@ -30,10 +31,10 @@ def brute(docs, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [common.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("limit", [decontaminate.SHINGLE_ROWS, 0])
 def test_against_brute_force(spark, docs_of, monkeypatch, limit):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
-    monkeypatch.setattr(common.small, "__defaults__", (limit,))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", min(limit, common.BROADCAST_ROWS))
+    monkeypatch.setattr(common.small, "__defaults__", (min(limit, common.BROADCAST_ROWS),))
     rng = random.Random(3)
     vocabulary = ["Alpha", "beta", "GAMMA", "délta", "x1"]
     text = lambda n: " ".join(rng.choices(vocabulary, k=n))
@@ -41,7 +42,7 @@ def test_against_brute_force(spark, docs_of, monkeypatch, limit):
     docs = [(i, text(rng.randint(0, 60))) for i in range(25)]
     docs += [(30, items[0][1].lower()), (31, "!! ".join(split(items[7][1]))), (32, f"a {items[1][1]} b {items[1][1]}"), (33, None), (34, ""), (30, "ZETA"), (None, "beta x1 gamma"), (None, None)]
     table = spark.createDataFrame(items, "item_id long, text string")
-    rows = decontaminate.contamination(docs_of(docs), table).collect()
+    rows = decontaminate.contamination(docs_of(docs), table, limit).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows) == brute(docs, items)
 
 
@@ -55,3 +56,38 @@ def test_clean_and_empty_tables(spark, docs_of, words):
     assert decontaminate.clean(docs, none).count() == 5
     assert decontaminate.contamination(docs, none).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.where("false"), items).count() == 0
+
+
+def test_clean_by_shuffle(spark, docs_of, words):
+    passage = words(12, "item")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    docs = docs_of([(1, f"x {passage} y")] * 40 + [(2, words(40, 1)), (3, None), (None, passage), (4, ""), (None, None)])
+    assert sorted(str(r.doc_id) for r in decontaminate.clean(docs, items, broadcast=0).collect()) == ["2", "3", "4", "None"]
+
+
+@pytest.mark.parametrize("limit", [decontaminate.SHINGLE_ROWS, 0])
+def test_no_exchange_carries_words_of_every_place(spark, docs_of, words, monkeypatch, limit):
+    plans, stage = {}, common.stage
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().explainString(spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return stage(df, name)
+
+    monkeypatch.setattr(common, "stage", seen)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    docs = docs_of([(1, words(30, 1))])
+    items = spark.createDataFrame([(1, words(12, 1))], "item_id long, text string")
+    decontaminate.window_hits(docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id()), items, limit)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    exchanges = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plans["places"])
+    columns = {re.sub(r"#\d+L?$", "", c) for e in exchanges for c in e.split(", ")}
+    assert columns.isdisjoint({"__words", "around", "text"}) and (limit or {"__row", "place", "shingle"} <= columns)
+
+
+def test_many_items_share_a_window(spark, docs_of, words):
+    shared = words(10, "shared")
+    items = spark.createDataFrame([(i, f"{shared} {words(3, i)}") for i in range(300)], "item_id long, text string")
+    rows = decontaminate.contamination(docs_of([(k, f"{words(5, 900 + k)} {shared}") for k in range(20)]), items).collect()
+    want = hashlib.sha256(",".join(sorted(map(str, range(300)))).encode()).hexdigest()
+    assert {(r.n_hit, r.n_items, r.items_sha256) for r in rows} == {(10, 300, want)}
