@@ -1,7 +1,7 @@
 """Quality rules: distribution divergence of a text from the references of the languages (operator 5).
 
 References are two histograms a language, over all documents that name it and pass the base rules: character
-classes, and common words. A document is compared with the reference of its own language, or with the nearest
+classes, and common words without case and signs around them. A document is compared with the reference of its own language, or with the nearest
 one of its script if it names no language, by the Jensen-Shannon distance (base 2, 0 to 1). Documents of a language
 without reference aren't judged by distances."""
 
@@ -23,6 +23,9 @@ from . import common
 WORDS = re.compile(common.SPACE_WORD)
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+BLANKS = " \t\n\v\f\r"
+AROUND_WORDS = ".,;:!?\"'()[]{}<>*_-\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u00ab\u00bb\u2026\u00a1\u00bf"
+CACHED_WORDS = 200_000
 CLASSES = ("lower", "upper", "other_letter", "mark", "digit", "space", "stop", "quote_dash", "symbol", "control")
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -90,23 +93,36 @@ def script(counts: Counter) -> str:
     return min(seen, key=lambda k: (-seen[k], k), default="")
 
 
-def repeated_window_words(words: list[str], width: int = WINDOW) -> int:
+class Numbers(dict):
+    """Words by number, a new one for each new word; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = len(self)
+        return self[word]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def repeated_window_words(words: list[str], width: int = WINDOW, numbers: Numbers | None = None) -> int:
     """Words inside any window of so many words that occurs twice or more in the list, all occurrences counted."""
     n = len(words) - width + 1
     if n < 2:
         return 0
-    ids: dict[str, int] = {}
-    row = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint64, len(words))
-    if len(ids) >= len(words) - 1 and width > 1:
+    if width > 1 and len(set(words)) >= len(words) - 1:
         return 0  # two equal windows of two or more words would repeat two words at least
+    row = (Numbers() if numbers is None else numbers).of(words)
     key = np.zeros(n, np.uint64)
     for k in range(width):
         key = key * np.uint64(0x9E3779B97F4A7C15) + row[k : k + n] + np.uint64(1)
         key ^= key >> np.uint64(29)
-    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-    candidates = np.flatnonzero(times[back] > 1)
-    if not len(candidates):
+    ordered = np.sort(key)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(again):
         return 0
+    candidates = np.flatnonzero(again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key)
     exact = Counter(tuple(words[i : i + width]) for i in candidates.tolist())  # hashes only propose
     hit = np.zeros(len(words) + 1, np.int64)
     for i in candidates.tolist():
@@ -116,16 +132,38 @@ def repeated_window_words(words: list[str], width: int = WINDOW) -> int:
     return int((np.cumsum(hit)[:-1] > 0).sum())
 
 
-def base_rules(text: str | None) -> tuple[list[str], int, int, int, int, bool]:
+def base_rules(text: str | None, numbers: Numbers | None = None) -> tuple[list[str], int, int, int, int, bool]:
     """words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of a whole text."""
     text = text or ""
     words = WORDS.findall(text)
-    lines = [x for x in text.split("\n") if WORDS.search(x)]
-    repeat = repeated_window_words(words)
+    lines = [x for x in text.split("\n") if x.strip(BLANKS)]
+    repeat = repeated_window_words(words, WINDOW, numbers)
     failed = len(words) < 20 or 100 * repeat > 30 * len(words)
     return words, sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed
 
 
+def folded(word: str) -> str:
+    """A word without case and the signs around it; a word of signs alone stays."""
+    return word.strip(AROUND_WORDS).casefold() or word
+
+
+class Places(dict):
+    """Common words, as they stand in a text, by their place in the histogram of their folded forms."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        self[word] = self.known.get(folded(word), len(self.known))
+        return self[word]
+
+    def histogram(self, words: list[str]) -> np.ndarray:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        return np.bincount(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), minlength=len(self.known) + 1)
+
+
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon distance of two histograms: the root of the divergence in bits; 0 if either is empty."""
     if not p.sum() or not q.sum():
@@ -159,6 +197,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, min_words: int
         import pyarrow as pa
 
         kept: Counter = Counter()
+        numbers = Numbers()
 
         def rows():
             keys = list(kept)
@@ -171,7 +210,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, min_words: int
                 part = whole.slice(at, common.ROWS_PER_SLICE)
                 by_lang: dict[str, tuple[Counter, np.ndarray]] = {}
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words, *_, failed = base_rules(text)
+                    words, *_, failed = base_rules(text, numbers)
                     if failed:
                         continue
                     seen, classes = by_lang.setdefault(lang, (Counter(), np.zeros(len(CLASSES), np.int64)))
@@ -179,7 +218,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, min_words: int
                     classes += class_counts(text)
                 for lang, (seen, classes) in by_lang.items():
                     for word, n in seen.items():
-                        kept[lang, "word", word] += n
+                        kept[lang, "word", folded(word)] += n
                     kept[lang, "words", ""] += seen.total()
                     for k, n in enumerate(classes.tolist()):
                         kept[lang, "class", str(k)] += n
@@ -223,7 +262,7 @@ def assess(docs: DataFrame, refs: dict, min_chars: int = MIN_CHARS, min_words: i
                 letters[char] += int(histogram[k])
         scripts[name] = script(letters)
 
-    def distances(text, words, lang):
+    def distances(text, words, lang, common_places):
         if lang is not None:
             own = {lang: refs[lang]} if lang in refs else {}
         else:
@@ -231,24 +270,23 @@ def assess(docs: DataFrame, refs: dict, min_chars: int = MIN_CHARS, min_words: i
             own = {k: v for k, v in refs.items() if letters in ("", scripts[k])}
         classes = class_counts(text) if len(text) >= min_chars else None
         best = (None, None, None)
-        for name, (ref_classes, places, ref_words) in own.items():
+        for name, (ref_classes, _, ref_words) in own.items():
             char = js_distance(classes, ref_classes) if classes is not None else None
             word = None
             if len(words) >= min_words:
-                seen = np.zeros(len(places) + 1)
-                for w, n in Counter(words).items():
-                    seen[places.get(w, len(places))] += n
-                word = js_distance(seen, ref_words)
+                word = js_distance(common_places[name].histogram(words), ref_words)
             if best[2] is None or (char or 0) + (word or 0) < (best[0] or 0) + (best[1] or 0):
                 best = (char, word, name)
         return best
 
     def make():
+        numbers, common_places = Numbers(), {name: Places(places) for name, (_, places, _) in refs.items()}
+
         def step(texts, langs):
             out = [[] for _ in range(10)]
             for text, lang in zip(texts, langs, strict=True):
-                words, *base, failed = base_rules(text)
-                char, word, name = (None, None, None) if failed else distances(text, words, lang)
+                words, *base, failed = base_rules(text, numbers)
+                char, word, name = (None, None, None) if failed else distances(text, words, lang, common_places)
                 kept = not failed and (char is None or char <= max_char) and (word is None or word <= word_limit(len(words), refs[name][2], max_word))
                 for column, value in zip(out, (len(words), *base, failed, kept, char, word, name), strict=True):
                     column.append(value)
@@ -261,5 +299,6 @@ def assess(docs: DataFrame, refs: dict, min_chars: int = MIN_CHARS, min_words: i
 
 
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, the base figures, kept, and the distances that it follows from."""
     docs = common.load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return assess(docs, references(docs)).drop("text", "lang")

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -112,3 +113,93 @@ def test_only_references_of_the_language_or_script_judge(docs_of):
 
 def test_scripts():
     assert [quality.script(Counter(t)) for t in ("abc ж", "Ёж ab жж", "1, 2!", "漢字 a", "ひ a", "")] == ["LATIN", "CYRILLIC", "", "CJK", "HIRAGANA", ""]
+
+
+def plain(rows):
+    """The query in plain Python: rows (doc_id, text, lang) -> the columns of each row."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def base(text):
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        n = Counter(windows)
+        inside = {i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(8)}
+        failed = len(words) < 20 or 100 * len(inside) > 30 * len(words)
+        return words, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), sum(lines[i] in lines[:i] for i in range(len(lines))), len(inside), failed
+
+    def fold(word):
+        return word.strip(quality.AROUND_WORDS).casefold() or word
+
+    def classes(text):
+        seen = [0] * len(quality.CLASSES)
+        for c in text:
+            seen[quality.char_class(ord(c))] += 1
+        return seen
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+        return math.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
+
+    refs = {}
+    for lang in {g for _, _, g in rows if g is not None}:
+        texts = [t for _, t, g in rows if g == lang and t is not None and not base(t)[-1]]
+        n = Counter(fold(w) for t in texts for w in base(t)[0])
+        if n.total() >= quality.MIN_REFERENCE_WORDS:
+            top = sorted(n, key=lambda w: (-n[w], w))[: quality.COMMON_WORDS]
+            refs[lang] = [sum(k) for k in zip(*map(classes, texts), strict=True)], top, [*(n[w] for w in top), n.total() - sum(n[w] for w in top)]
+
+    def script(pairs):
+        n = Counter()
+        for c, k in pairs:
+            if c.isalpha():
+                n[re.split("[ -]", unicodedata.name(c, ""))[0]] += k
+        return min(n, key=lambda k: (-n[k], k), default="")
+
+    out = []
+    for i, text, lang in rows:
+        words, *rest, failed = base(text)
+        best = (None, None, None)
+        if not failed:
+            own = [lang] if lang is not None else [g for g, r in refs.items() if script((c, 1) for c in text) in ("", script((c, k) for w, k in zip(r[1], r[2], strict=False) for c in w))]
+            found = []
+            for g in own:
+                if g in refs:
+                    char = distance(classes(text), refs[g][0]) if len(text) >= quality.MIN_CHARS else None
+                    n = Counter(fold(w) for w in words)
+                    seen = [n[w] for w in refs[g][1]]
+                    word = distance([*seen, len(words) - sum(seen)], refs[g][2]) if len(words) >= quality.MIN_WORDS else None
+                    found.append(((char or 0) + (word or 0), g, char, word))
+            if found:
+                _, g, char, word = min(found)
+                best = char, word, g
+        char, word, g = best
+        kept = not failed and (char is None or char <= quality.MAX_CHAR_DISTANCE) and (word is None or word <= quality.word_limit(len(words), np.array(refs[g][2], float)))
+        out.append((str(i), len(words), *rest, failed, kept, g, *(None if x is None else round(x, 9) for x in (char, word))))
+    return sorted(out, key=str)
+
+
+def test_the_query_against_plain_python(spark, docs_of, tmp_path):
+    rng = random.Random(11)
+    vocabulary = {g: ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(150)] for g, letters in (("aa", "abcdefgh"), ("bb", "mnopqrst"), ("ru", "жзийклмн"))}
+
+    def prose(g, n):
+        weights = [1 / (k + 1) for k in range(150)]
+        words = [w.title() if rng.random() < 0.1 else w for w in rng.choices(vocabulary[g], weights, k=n)]
+        return "".join(w + rng.choice([" ", " ", " ", ", ", ".\n", " (", "! "]) for w in words)
+
+    rows = [(i, prose(g, rng.choice([10, 30, 90, 200, 400])), g) for i, g in enumerate(["aa", "bb", "ru"] * 14)]
+    rows += [(100, prose("aa", 300), None), (101, prose("ru", 300), None), (102, prose("aa", 300), "bb"), (103, "| # * " * 100, "aa"), (104, prose("bb", 40) * 3, "bb"), (105, "same line here\n" * 12 + prose("aa", 100), "aa")]
+    rows += [(106, "".join(rng.choices("qwertzuiop ", k=2000)), "aa"), (107, None, "aa"), (108, "", None), (None, " \t\n", "zz"), (109, prose("aa", 120), "zz"), (109, prose("aa", 120), "zz"), (110, "中文 " * 100, None), (111, "- — !? " * 60, None)]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = quality.op5_distribution_divergence(spark, str(tmp_path)).collect()
+    shown = lambda x: None if x is None else round(x, 9)
+    made = [(str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.compared_lang, shown(r.char_distance), shown(r.word_distance)) for r in got]
+    assert sorted(made, key=str) == plain(rows)
+    assert {r.kept for r in got if not r.base_failed} == {True, False}
