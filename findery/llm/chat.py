@@ -8,7 +8,7 @@ task either; turns of a dialogue with very many are dealt out to meet its partic
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -20,26 +20,6 @@ CONTEXT = "system"
 BREAKS = "\n\r\v\f\x85\u2028\u2029"
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """df with out, the sum of value over the rows of the group that come before in the order.
-
-    Rows are dealt out by ranges of (group, order) and written, then summed inside a range of a group; a second
-    window has one row for each range of a group."""
-    part = common.free_name(df, "part")
-    ranged = df.repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id())
-    ranged = common.stage(ranged, "ranges")
-    before = (Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*group, part).orderBy(*order).rowsBetween(*before)
-    whole = Window.partitionBy(*group).orderBy(part).rowsBetween(*before)
-    sums = ranged.groupBy(*group, part).agg(F.sum(value).alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(whole), F.lit(0)))
-    sums = sums.select(*(F.col(c).alias(f"__{c}") for c in group), F.col(part).alias("__part"), "__before")
-    same = F.col(part) == F.col("__part")
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    summed = ranged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(sums, same).withColumn(out, F.col(out) + F.col("__before")).select(*df.columns, out)
-
-
 def safe(text: Column) -> Column:
     """Marks of the format inside a text are broken up, so that no text opens or closes a turn."""
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
@@ -65,7 +45,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
     both = both.select("__key", "conv_id", "perspective", "turn", "speaker", "said", role.alias("role"), name.alias("name"), head.alias("__head"))
     both = both.withColumn("rendered", F.concat("__head", "said", F.lit(CLOSE))).withColumn("__n", F.length("rendered").cast("long")).withColumn("__head", F.length("__head").cast("long"))
-    placed = prefix_sums(both, ["__key", "perspective"], ["turn", "speaker", "said"], "__n", "start")
+    placed = common.prefix_sums(both, ["__key", "perspective"], ["turn", "speaker", "said"], {"start": "__n"})
     learned = lambda c: F.when(F.col("role") == "assistant", c)
     return placed.select("conv_id", "perspective", "turn", "role", "name", "rendered", "start", learned(F.col("start") + F.col("__head")).alias("mask_start"), learned(F.col("start") + F.col("__n")).alias("mask_end"))
 

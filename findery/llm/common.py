@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,9 +31,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where there is none, as in tests."""
+    """The folder in spark.checkpoint.dir. Where there is none, a temporary one is set in a session that has no other
+    machines, as in tests; a cluster must name one that all its machines share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="findery-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -107,6 +110,28 @@ def join_hot(big: DataFrame, params: DataFrame, on: str, n: str, hot: int = HOT_
     return big.where(~is_hot).join(cold, on).unionByName(warm).drop("__is_hot")
 
 
+def prefix_sums(df: DataFrame, group: list[str], order: list[str | Column], values: dict[str, str]) -> DataFrame:
+    """df with, for each name in values, the sum of its column over the rows of the group that come before in the order.
+
+    Rows are dealt out by ranges of (group, order) and written, then summed inside a range of a group; a second
+    window has one row for each range of a group. No group is one task."""
+    part = free_name(df, "part")
+    ranged = df.repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id())
+    ranged = stage(ranged, "ranges")
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, part).orderBy(*order).rowsBetween(*before)
+    whole = Window.partitionBy(*group).orderBy(part).rowsBetween(*before)
+    sums = ranged.groupBy(*group, part).agg(*(F.sum(c).alias(f"__sum_{out}") for out, c in values.items()))
+    earlier = [F.coalesce(F.sum(f"__sum_{out}").over(whole), F.lit(0)).alias(f"__before_{out}") for out in values]
+    sums = sums.select(*(F.col(c).alias(f"__{c}") for c in group), F.col(part).alias("__part"), *earlier)
+    same = F.col(part) == F.col("__part")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    summed = ranged.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__in_{out}") for out, c in values.items()))
+    joined = summed.join(sums, same)
+    return joined.select(*df.columns, *((F.col(f"__in_{out}") + F.col(f"__before_{out}")).alias(out) for out in values))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

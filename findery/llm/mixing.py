@@ -30,19 +30,21 @@ def source_targets(sources: DataFrame) -> DataFrame:
     all sizes; none gets more than MAX_TIMES its size, the rest goes to the others by weight.
 
     In order of the size a unit of weight, those that meet their cap come first; the level of the others follows
-    from the sums before the first that doesn't. One row a source stands in these windows."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    cap, whole = F.col("__cap"), F.col("__w")
-    rows = sources.withColumn("__rank", F.row_number().over(by_name))
-    rows = rows.withColumn("__w", ((F.col("__rank") - 1) % 3 + 1).cast("double")).withColumn("__cap", (MAX_TIMES * F.col("source_size")).cast("double"))
-    by_level = Window.orderBy(cap / whole, "__rank")
-    before, everything = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("__left", F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0.0)))
-    rows = rows.withColumn("__share", F.sum("__w").over(everything) - F.coalesce(F.sum("__w").over(before), F.lit(0.0)))
-    open_ = F.when(cap * F.col("__share") >= F.col("__left") * whole, F.struct("__left", "__share"))
-    rows = rows.withColumn("__open", F.first(open_, ignorenulls=True).over(everything))
-    level = F.col("__open.__left") * whole / F.col("__open.__share")
-    return rows.select(*sources.columns, F.when(cap * F.col("__open.__share") < F.col("__open.__left") * whole, cap).otherwise(level).alias("target"))
+    from the sums before the first that doesn't. Ranks and sums are formed over ranges of sources, which may be many;
+    the driver gets two rows."""
+    ranked = common.prefix_sums(sources.withColumn("__one", F.lit(1)), [], [F.col("source").asc_nulls_last()], {"__rank": "__one"})
+    rows = ranked.withColumn("__w", F.col("__rank") % 3 + 1).withColumn("__cap", MAX_TIMES * F.col("source_size"))
+    rows = rows.withColumn("__unit", F.col("__cap").cast("double") / F.col("__w"))
+    rows = common.prefix_sums(rows, [], ["__unit", "__rank"], {"__caps": "__cap", "__ws": "__w"})
+    rows = common.stage(rows, "mix-levels")
+    size, weight = rows.agg(F.sum("source_size"), F.sum("__w")).first()
+    left, share = (F.lit(size or 0) - F.col("__caps")).cast("double"), (F.lit(weight or 0) - F.col("__ws")).cast("double")
+    cap, whole = F.col("__cap").cast("double"), F.col("__w").cast("double")
+    first = rows.where(cap * share >= left * whole).agg(F.min(F.struct("__unit", "__rank", left.alias("left"), share.alias("share")))).first()[0]
+    if first is None:  # no sources
+        return rows.select(*sources.columns, cap.alias("target"))
+    met = cap * first["share"] < F.lit(first["left"]) * whole
+    return rows.select(*sources.columns, F.when(met, cap).otherwise(F.lit(first["left"]) * whole / first["share"]).alias("target"))
 
 
 def uniform() -> Column:

@@ -205,12 +205,26 @@ def test_a_name_stays_in_its_line(spark):
 def test_prefix_sums_over_ranges(spark):
     rows = [(i % 3 and 1 or None, i, i % 5) for i in range(500)]
     df = spark.createDataFrame(rows, "g int, o int, v int")
-    got = {(r.g, r.o): r.before for r in chat.prefix_sums(df, ["g"], ["o"], "v", "before").collect()}
-    want, run = {}, {}
-    for g, o, v in sorted(rows, key=lambda r: r[1]):
-        want[g, o] = run.get(g, 0)
-        run[g] = want[g, o] + v
-    assert got == want
+    for group in (["g"], []):
+        got = {(r.g, r.o): (r.before, r.places) for r in common.prefix_sums(df.withColumn("one", F.lit(1)), group, [F.col("o").asc_nulls_last()], {"before": "v", "places": "one"}).collect()}
+        want, run = {}, {}
+        for g, o, v in sorted(rows, key=lambda r: r[1]):
+            k = g if group else 0
+            want[g, o] = run.get(k, (0, 0))
+            run[k] = want[g, o][0] + v, want[g, o][1] + 1
+        assert got == want
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session)
 
 
 def test_words(spark):
