@@ -27,7 +27,9 @@ BLANKS = " \t\n\v\f\r"
 AROUND_WORDS = ".,;:!?\"'()[]{}<>*_-\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u00ab\u00bb\u2026\u00a1\u00bf"
 CACHED_WORDS = 200_000
 CLASSES = ("lower", "upper", "other_letter", "mark", "digit", "space", "stop", "quote_dash", "symbol", "control")
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: What str.split takes for white space besides ASCII white space.
+OTHER_GAPS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 #: Parameters of production.
 COMMON_WORDS = 64  # of each language, the most frequent ones
@@ -93,31 +95,27 @@ def script(counts: Counter) -> str:
     return min(seen, key=lambda k: (-seen[k], k), default="")
 
 
-class Numbers(dict):
-    """Words by number, a new one for each new word; forgotten when there are too many."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = len(self)
-        return self[word]
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def window_hashes(words: list[str], width: int) -> np.ndarray:
+    """A hash for each window of so many words, from those of windows half as wide. They agree in one process only."""
+    row = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    key, have = row, 1
+    while have < width:
+        more = have if 2 * have <= width else 1
+        other = key if more > 1 or have == 1 else row
+        n = len(words) - have - more + 1
+        key = key[:n] * FACTOR + other[have : have + n]
+        key ^= key >> np.uint64(29)
+        have += more
+    return key
 
 
-def repeated_window_words(words: list[str], width: int = WINDOW, numbers: Numbers | None = None) -> int:
+def repeated_window_words(words: list[str], width: int = WINDOW) -> int:
     """Words inside any window of so many words that occurs twice or more in the list, all occurrences counted."""
-    n = len(words) - width + 1
-    if n < 2:
+    if len(words) <= width:
         return 0
     if width > 1 and len(set(words)) >= len(words) - 1:
         return 0  # two equal windows of two or more words would repeat two words at least
-    row = (Numbers() if numbers is None else numbers).of(words)
-    key = np.zeros(n, np.uint64)
-    for k in range(width):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + row[k : k + n] + np.uint64(1)
-        key ^= key >> np.uint64(29)
+    key = window_hashes(words, width)
     ordered = np.sort(key)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(again):
@@ -132,12 +130,17 @@ def repeated_window_words(words: list[str], width: int = WINDOW, numbers: Number
     return int((np.cumsum(hit)[:-1] > 0).sum())
 
 
-def base_rules(text: str | None, numbers: Numbers | None = None) -> tuple[list[str], int, int, int, int, bool]:
+def split_words(text: str) -> list[str]:
+    """Runs without ASCII white space; str.split is faster where the text has no other characters that it splits at."""
+    return WORDS.findall(text) if OTHER_GAPS.search(text) else text.split()
+
+
+def base_rules(text: str | None) -> tuple[list[str], int, int, int, int, bool]:
     """words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of a whole text."""
     text = text or ""
-    words = WORDS.findall(text)
+    words = split_words(text)
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
-    repeat = repeated_window_words(words, WINDOW, numbers)
+    repeat = repeated_window_words(words)
     failed = len(words) < 20 or 100 * repeat > 30 * len(words)
     return words, sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed
 
@@ -147,21 +150,25 @@ def folded(word: str) -> str:
     return word.strip(AROUND_WORDS).casefold() or word
 
 
-class Places(dict):
-    """Common words, as they stand in a text, by their place in the histogram of their folded forms."""
+class Places:
+    """Common words, in all forms in which texts have them, by their place in the histogram of their folded forms."""
 
     def __init__(self, known: dict[str, int]):
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, word: str) -> int:
-        self[word] = self.known.get(folded(word), len(self.known))
-        return self[word]
+        self.known, self.seen, self.places = known, set(), {}
 
     def histogram(self, words: list[str]) -> np.ndarray:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        return np.bincount(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), minlength=len(self.known) + 1)
+        counts = Counter(words)
+        if len(self.seen) > CACHED_WORDS:
+            self.seen.clear()
+            self.places.clear()
+        new = counts.keys() - self.seen
+        self.seen |= new
+        self.places |= {w: self.known[f] for w in new if (f := folded(w)) in self.known}
+        found = np.zeros(len(self.known) + 1)
+        for word in counts.keys() & self.places.keys():
+            found[self.places[word]] += counts[word]
+        found[-1] = len(words) - found.sum()
+        return found
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -196,35 +203,32 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, min_words: int
     def count(batches):
         import pyarrow as pa
 
-        kept: Counter = Counter()
-        numbers = Numbers()
+        by_lang: dict[str, tuple[Counter, np.ndarray]] = {}
 
         def rows():
+            kept: Counter = Counter()
+            for lang, (seen, classes) in by_lang.items():
+                for word, n in seen.items():
+                    kept[lang, "word", folded(word)] += n
+                kept[lang, "words", ""] += seen.total()
+                for k, n in enumerate(classes.tolist()):
+                    kept[lang, "class", str(k)] += n
+            by_lang.clear()
             keys = list(kept)
-            out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([kept[k] for k in keys], pa.int64())], names=["lang", "kind", "item", "n"])
-            kept.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([kept[k] for k in keys], pa.int64())], names=["lang", "kind", "item", "n"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, common.ROWS_PER_SLICE):
                 part = whole.slice(at, common.ROWS_PER_SLICE)
-                by_lang: dict[str, tuple[Counter, np.ndarray]] = {}
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words, *_, failed = base_rules(text, numbers)
-                    if failed:
-                        continue
-                    seen, classes = by_lang.setdefault(lang, (Counter(), np.zeros(len(CLASSES), np.int64)))
-                    seen.update(words)
-                    classes += class_counts(text)
-                for lang, (seen, classes) in by_lang.items():
-                    for word, n in seen.items():
-                        kept[lang, "word", folded(word)] += n
-                    kept[lang, "words", ""] += seen.total()
-                    for k, n in enumerate(classes.tolist()):
-                        kept[lang, "class", str(k)] += n
-                if len(kept) > FLUSH_WORDS:
+                    words, *_, failed = base_rules(text)
+                    if not failed:
+                        seen, classes = by_lang.setdefault(lang, (Counter(), np.zeros(len(CLASSES), np.int64)))
+                        seen.update(words)
+                        classes += class_counts(text)
+                if sum(len(seen) for seen, _ in by_lang.values()) > FLUSH_WORDS:
                     yield rows()
-        if kept:
+        if by_lang:
             yield rows()
 
     common.small_batches(docs.sparkSession)
@@ -280,12 +284,12 @@ def assess(docs: DataFrame, refs: dict, min_chars: int = MIN_CHARS, min_words: i
         return best
 
     def make():
-        numbers, common_places = Numbers(), {name: Places(places) for name, (_, places, _) in refs.items()}
+        common_places = {name: Places(places) for name, (_, places, _) in refs.items()}
 
         def step(texts, langs):
             out = [[] for _ in range(10)]
             for text, lang in zip(texts, langs, strict=True):
-                words, *base, failed = base_rules(text, numbers)
+                words, *base, failed = base_rules(text)
                 char, word, name = (None, None, None) if failed else distances(text, words, lang, common_places)
                 kept = not failed and (char is None or char <= max_char) and (word is None or word <= word_limit(len(words), refs[name][2], max_word))
                 for column, value in zip(out, (len(words), *base, failed, kept, char, word, name), strict=True):
