@@ -92,32 +92,40 @@ def same_questions(a: DataFrame, b: DataFrame) -> None:
         raise ValueError("results are not on the same questions")
 
 
-def bootstrap_array(values: list[float], groups: list[str] | None = None, repeats: int = REPEATS, alpha: float = ALPHA, seed: int = 0) -> tuple[float, float, float]:
-    """Mean and interval of a list with NumPy's generator: for parity with results that were drawn that way."""
-    v = np.asarray(values, float)
-    if not v.size:
-        return (float("nan"),) * 3
-    if groups is not None and len(groups) != v.size:
-        raise ValueError("one group a value is needed")
-    sums, counts = v, np.ones(v.size)
-    if groups is not None and len(set(groups)) > 1:
-        codes, _ = pd.factorize(pd.Series(groups))
-        sums, counts = np.bincount(codes, v), np.bincount(codes).astype(float)
-    at = np.random.default_rng(seed).integers(0, sums.size, (repeats, sums.size))
-    means = sums[at].sum(1) / counts[at].sum(1)
-    return float(v.mean()), *map(float, np.quantile(means, [alpha / 2, 1 - alpha / 2]))
+def drawn_means(sums: np.ndarray, counts: np.ndarray, repeats: int, seed: int, cells: int = 1 << 22) -> np.ndarray:
+    """Means of resamples of units, with NumPy's generator: for parity with results that were drawn that way.
+
+    A resample is a row of how often each unit is drawn; rows are made in blocks, so memory grows with the units only."""
+    generator, n = np.random.default_rng(seed), len(sums)
+    block = max(1, cells // n)
+    means = []
+    for at in range(0, repeats, block):
+        rows = min(block, repeats - at)
+        drawn = generator.integers(0, n, (rows, n)) + n * np.arange(rows)[:, None]
+        times = np.bincount(drawn.ravel(), minlength=rows * n).reshape(rows, n)
+        means.append(times @ sums / (times @ counts))
+    return np.concatenate(means)
 
 
 def bootstrap_by(values: DataFrame, by: list[str], group: str | None, repeats: int = REPEATS, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
-    """Like summarize with bootstrap_array: one task holds the values of one key of by, in the order of query_id."""
+    """Like summarize with NumPy's draws: one task holds the sums of the units of one key of by. Units are whole groups
+    in the order in which query_id meets them, or single questions without a group or with one group only."""
+    totals = F.struct(F.min("query_id").alias("first"), F.sum("value").alias("s"), F.count("*").alias("c"))
+    single = values.groupBy(*by, F.col("query_id").cast("string").alias("__unit")).agg(totals.alias("t"))
+    if group is not None:
+        grouped = values.groupBy(*by, F.col(group).cast("string").alias("__unit")).agg(totals.alias("t"))
+        several = grouped.groupBy(*by).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+        single = grouped.join(several, by, "left_semi").unionByName(single.join(several, by, "left_anti"))
+    units = single.select(*by, "t.first", "t.s", "t.c")
     kinds = ", ".join(f"{c} {values.schema[c].dataType.simpleString()}" for c in by)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("query_id")
-        mean, lo, hi = bootstrap_array(list(rows["value"]), list(rows[group]) if group else None, repeats, alpha, seed)
-        return pd.DataFrame([{**{c: rows[c].iloc[0] for c in by}, "n": len(rows), "mean": mean, "lo": lo, "hi": hi}])
+        rows = rows.sort_values("first")
+        sums, counts = rows["s"].to_numpy(float), rows["c"].to_numpy(float)
+        lo, hi = np.quantile(drawn_means(sums, counts, repeats, seed), [alpha / 2, 1 - alpha / 2])
+        return pd.DataFrame([{**{c: rows[c].iloc[0] for c in by}, "n": int(counts.sum()), "mean": sums.sum() / counts.sum(), "lo": lo, "hi": hi}])
 
-    return values.groupBy(*by).applyInPandas(one, f"{kinds}, n long, mean double, lo double, hi double")
+    return units.groupBy(*by).applyInPandas(one, f"{kinds}, n long, mean double, lo double, hi double")
 
 
 def cell(mean: Column, lo: Column, hi: Column) -> Column:

@@ -638,7 +638,7 @@ def context_block(spark, sf_dir):
     return listed(spark, sf_dir).select("query_id", F.md5(prompt.context_block(F.col("hits"))).alias("context"))
 
 
-@query("prompt_messages", f"WITH {_LISTED}, m AS (SELECT query_id, {_BLOCKS} AS c FROM i GROUP BY query_id) SELECT query_id, md5('{prompt.INSTRUCTIONS.replace(chr(39), chr(39) * 2)}') AS system, md5('Book excerpts:' || chr(10) || chr(10) || c || chr(10) || chr(10) || 'Question: ' || {STRIP % 'text'}) AS user FROM m JOIN benchmark ON item_id = query_id")
+@query("prompt_messages", f"WITH {_LISTED}, m AS (SELECT query_id, {_BLOCKS} AS c FROM i GROUP BY query_id) SELECT query_id, md5('{prompt.INSTRUCTIONS.replace(chr(39), chr(39) * 2)}') AS system, md5({STRIP % 'text'} || chr(10) || '-----' || chr(10) || c) AS user FROM m JOIN benchmark ON item_id = query_id")
 def prompt_messages(spark, sf_dir):
     made = listed(spark, sf_dir).select("query_id", prompt.messages(F.col("query"), prompt.context_block(F.col("hits"))).alias("m"))
     return made.select("query_id", F.md5(F.get("m", F.lit(0))["content"]).alias("system"), F.md5(F.get("m", F.lit(1))["content"]).alias("user"))
@@ -655,22 +655,22 @@ _ESCAPED = "replace(replace(replace(replace(replace(%s, '&', '&amp;'), '<', '&lt
 
 @query(
     "render_hits",
-    f"""WITH {_LISTED} SELECT query_id, md5(CASE WHEN count(rank) = 0 THEN '<div class="no-hits">No matching chunks.</div>' ELSE
-    string_agg('<div class="hit' || CASE WHEN rank = 2 THEN ' hit-cited' ELSE '' END || '"><div class="hit-head"><span class="hit-rank">[' || rank || ']</span><span class="hit-score">' || printf('%.3f', score) || '</span><span class="hit-section">' || lang || '</span>' ||
-    CASE WHEN rank = 2 THEN '<span class="cited-badge">cited</span>' ELSE '' END || '</div><div class="hit-meta">' || source || ' · p. 1 · part 0 · id ' || id || '</div><div class="hit-text">' || {_ESCAPED % 'text'} || '</div></div>', chr(10) ORDER BY rank) END) AS html FROM i GROUP BY query_id""",
+    f"""WITH {_LISTED} SELECT query_id, md5(CASE WHEN count(rank) = 0 THEN '<p>Nothing found.</p>' ELSE '<ol>' ||
+    string_agg('<li><article' || CASE WHEN rank = 2 THEN ' data-cited' ELSE '' END || '><h3>' || lang || '</h3><data>' || printf('%.3f', score) || '</data><dl><dt>source</dt><dd>' || source || '</dd><dt>page</dt><dd>1</dd>' ||
+    '<dt>part</dt><dd>0</dd><dt>chunk</dt><dd>' || id || '</dd></dl><p>' || {_ESCAPED % 'text'} || '</p></article></li>', '' ORDER BY rank) || '</ol>' END) AS html FROM i GROUP BY query_id""",
 )
 def render_hits(spark, sf_dir):
     return listed(spark, sf_dir).select("query_id", F.md5(prompt.hit_cards(F.col("hits"), F.array(F.lit(2).cast("bigint")))).alias("html"))
 
 
-@query("confidence_badge", "SELECT doc_id, CASE WHEN quality = 1 THEN chr(128994) ELSE chr(128308) END || ' **Retrieval confidence: ' || CASE quality WHEN 1 THEN 'high' ELSE 'low' END || '** (' || CASE quality WHEN 1 THEN 85 ELSE 12 END || '% chance a relevant passage is in the top 5)' AS badge FROM labels")
+@query("confidence_badge", "SELECT doc_id, CASE quality WHEN 1 THEN 'HIGH' ELSE 'LOW' END || ': one of the first 5 passages answers this with a probability of ' || CASE quality WHEN 1 THEN 85 ELSE 12 END || '%' AS badge FROM labels")
 def confidence_badge(spark, sf_dir):
     p = F.when(F.col("quality") == 1, 0.85).otherwise(0.12)
     return load(spark, sf_dir, "labels").select("doc_id", prompt.confidence_badge(calibrate.level(p), p, F.lit(5)).alias("badge"))
 
 
-@query("answer_text", """SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 1 AND text = '' THEN '_Reading the sources…_' ELSE text || CASE WHEN turn % 2 = 1 THEN ' ▌' ELSE '' END ||
-  CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || '⚠️ _The answer cites sources that don''t exist: [7, 9]_' || chr(10) || chr(10) || '⚠️ _The answer cites no source; check it against the passages below._' ELSE '' END END) AS shown FROM conversations""")
+@query("answer_text", """SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN text || chr(10) || chr(10) || 'Note: there is no passage 7, 9.' || chr(10) || chr(10) || 'Note: no passage is cited.'
+  WHEN text = '' THEN '(waiting)' ELSE text || '_' END) AS shown FROM conversations""")
 def answer_text(spark, sf_dir):
     done = F.col("turn") % 2 == 0
     shown = prompt.answer_text(F.col("text"), done, F.lit(True), F.array().cast("array<bigint>"), F.array(F.lit(7), F.lit(9)))

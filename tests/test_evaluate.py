@@ -82,8 +82,17 @@ def test_bootstrap_brackets_the_mean(spark):
     values = [float(rng.random() < 0.4) for _ in range(120)]
     r = metrics.summarize(value_rows(spark, values), ["metric"], None, 400).first()
     assert r.lo < r["mean"] < r.hi and r["mean"] == pytest.approx(np.mean(values)) and r.n == 120
-    mean, lo, hi = metrics.bootstrap_array(values)
-    assert r.lo == pytest.approx(lo, abs=0.03) and r.hi == pytest.approx(hi, abs=0.03) and mean == r["mean"]
+    exact = metrics.bootstrap_by(value_rows(spark, values), ["metric"], None).first()
+    assert r.lo == pytest.approx(exact.lo, abs=0.03) and r.hi == pytest.approx(exact.hi, abs=0.03) and exact["mean"] == pytest.approx(r["mean"]) and exact.n == 120
+
+
+def test_draws_in_blocks_are_those_of_one_matrix():
+    rng = np.random.default_rng(8)
+    sums, counts = rng.random(37), rng.integers(1, 9, 37).astype(float)
+    at = np.random.default_rng(5).integers(0, 37, (300, 37))
+    want = sums[at].sum(1) / counts[at].sum(1)
+    for cells in (1, 37 * 7, 1 << 22):
+        assert metrics.drawn_means(sums, counts, 300, 5, cells) == pytest.approx(want)
 
 
 def test_clusters_widen_the_interval(spark):
@@ -92,15 +101,16 @@ def test_clusters_widen_the_interval(spark):
     slim = metrics.summarize(value_rows(spark, values, groups), ["metric"], None, 300).first()
     assert wide.hi - wide.lo > 2 * (slim.hi - slim.lo)
     exact = metrics.bootstrap_by(value_rows(spark, values, groups), ["metric"], "group", 300).first()
-    assert (exact["mean"], exact.lo, exact.hi) == pytest.approx(metrics.bootstrap_array(values, groups, 300))
+    means = metrics.drawn_means(np.bincount([i // 10 for i in range(200)], values), np.full(20, 10.0), 300, 0)
+    assert (exact["mean"], exact.lo, exact.hi) == pytest.approx((np.mean(values), *np.quantile(means, [0.025, 0.975])))
 
 
 def test_one_group_falls_back_to_questions(spark):
     values = [float(i % 2) for i in range(40)]
     a = metrics.summarize(value_rows(spark, values, ["g"] * 40), ["metric"], "group", 200).first()
     assert a.lo < a.hi
-    with pytest.raises(ValueError):
-        metrics.bootstrap_array(values, ["g"])
+    rows = value_rows(spark, values, ["g"] * 40)
+    assert metrics.bootstrap_by(rows, ["metric"], "group", 200).collect() == metrics.bootstrap_by(rows, ["metric"], None, 200).collect()
 
 
 def test_paired(spark):
@@ -199,7 +209,7 @@ def test_evaluation_from_end_to_end(spark, tmp_path):
 
 def test_citations(spark):
     cite = lambda t: spark.createDataFrame([(t,)], "t string").select(prompt.citations(F.col("t"), F.lit(3)).alias("c")).first().c
-    for text, valid, invalid in [("a [1] b", [1], []), ("[1][3]", [1, 3], []), ("[2, 3]", [2, 3], []), ("[1; 2][2]", [1, 2], []), ("[0] [7]", [], [0, 7]), ("a[i] [x]", [], []), ("", [], []), ("[99999999999999999999999] [2]", [2], [])]:
+    for text, valid, invalid in [("a [1] b", [1], []), ("[1][3]", [1, 3], []), ("[2, 3]", [2, 3], []), ("[1; 2][2]", [1, 2], []), ("[0] [7]", [], [0, 7]), ("a[i] [x]", [], []), ("", [], []), ("[[1]] [2", [1], []), ("[1,] [,2] [1 2] [ 3 ]", [], []), ("[1 ,3;2]", [1, 2, 3], []), ("[]", [], []), ("x[2][y]", [2], []), ("[99999999999999999999999] [2]", [2], [])]:
         assert (cite(text).valid, cite(text).invalid) == (valid, invalid)
 
 
@@ -217,12 +227,13 @@ class Scripted:
 def test_answers_grow_and_are_checked(spark):
     chunks, _ = small_book(spark)
     chat = Scripted("It is ", "so [1]", "[9]. ")
-    parts = list(answer.stream("alpha protocol", chunks, retrieve.bm25, chat, k=2))
-    assert [p.text for p in parts] == ["", "It is ", "It is so [1]", "It is so [1][9]. ", "It is so [1][9]."]
-    last = parts[-1]
-    assert last.done and last.llm_used and (last.cited, last.invalid_citations) == ([1], [9]) and len(last.hits) == 2 and not parts[0].done
-    assert chat.seen[0][1]["content"].startswith("Book excerpts:\n\n[1] (book.md, p. 0)\nSentence number alpha")
-    assert answer.answer("zzz", chunks, retrieve.bm25, chat).text == answer.NO_HITS and len(chat.seen) == 1
+    reply = answer.ask("alpha protocol", chunks, retrieve.bm25, chat, k=2)
+    assert reply.waiting and reply.row["text"] is None and len(reply.row["hits"]) == 2 and not chat.seen
+    assert list(reply) == ["It is ", "so [1]", "[9]. "] and not reply.waiting
+    assert (reply.row["text"], reply.row["cited"], reply.row["invalid_citations"], reply.row["llm_used"]) == ("It is so [1][9].", [1], [9], True)
+    assert chat.seen[0][1]["content"].startswith("alpha protocol\n-----\n[1] (book.md, p. 0)\nSentence number alpha")
+    none = answer.ask("zzz", chunks, retrieve.bm25, chat)
+    assert not none.waiting and list(none) == [] and none.row["text"] == answer.NO_HITS and not none.row["llm_used"] and none.row["cited"] == [] and len(chat.seen) == 1
 
 
 def test_gate_and_batch_answers(spark):
@@ -241,8 +252,8 @@ def test_cards(spark):
     hit = ("c<1>", "s&1", None, 3, None, 0.12345, "<b>")
     schema = "h array<struct<id:string,source:string,section:string,page:int,part:int,score:double,text:string>>"
     card = spark.createDataFrame([([hit],)], schema).select(prompt.hit_cards(F.col("h"), F.array(F.lit(1).cast("bigint")))).first()[0]
-    assert "hit-cited" in card and "s&amp;1 · p. 3 · id c&lt;1&gt;" in card and "(no heading)" in card and "0.123" in card and "&lt;b&gt;" in card
-    assert "No matching chunks." in spark.createDataFrame([([],)], schema).select(prompt.hit_cards(F.col("h"), F.array().cast("array<bigint>"))).first()[0]
+    assert card == "<ol><li><article data-cited><h3>(no heading)</h3><data>0.123</data><dl><dt>source</dt><dd>s&amp;1</dd><dt>page</dt><dd>3</dd><dt>chunk</dt><dd>c&lt;1&gt;</dd></dl><p>&lt;b&gt;</p></article></li></ol>"
+    assert "<p>Nothing found.</p>" in spark.createDataFrame([([],)], schema).select(prompt.hit_cards(F.col("h"), F.array().cast("array<bigint>"))).first()[0]
 
 
 def test_question_run(spark):
