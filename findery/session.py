@@ -32,8 +32,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def temporary(spark: SparkSession, name: str) -> str:
-    """A new path that all executors see: below spark.checkpoint.dir, or the warehouse where there is none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path that all executors see: below spark.checkpoint.dir, or, in a session without other machines, the
+    warehouse. A cluster must name the folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/findery/{name}-{uuid.uuid4().hex}"
 
 

@@ -23,6 +23,12 @@ def test_core_does_not_need_the_training_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_an_error_inside_the_training_operators_shows(tmp_path):
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=False)
+    assert (ROOT / "findery" / "llm" / "queries.py").exists() == (done.returncode != 0 and "ahocorasick" in done.stderr)
+
+
 def compare(spark, name, folder="/root/testdata/sf0.001"):
     import duckdb
 

@@ -140,3 +140,31 @@ def test_store(spark, tmp_path):
     assert again.count() == 1 and again.buckets == 4
     with pytest.raises(ValueError, match="holds vectors"):
         VectorStore(spark, str(tmp_path), HashEmbedder(32), name="chunks__hashed-words-64")
+
+
+def test_a_writer_that_is_lost_changes_nothing(spark, tmp_path, monkeypatch):
+    store = VectorStore(spark, str(tmp_path), HashEmbedder(), buckets=2)
+    store.sync(form(spark, [("1", "book", "tcp reno"), ("2", "paper", "gossip")]))
+    held = lambda: sorted((r.source, r.id) for r in store.read().collect())
+    before = held()
+    with monkeypatch.context() as m:
+        m.setattr(store.notes, "put", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.sync(form(spark, [("3", "book", "quic")]))
+    assert held() == before
+    assert store.sync(form(spark, [("3", "book", "quic")])) == {"added": 1, "deleted": 1, "kept": 0, "duplicates": 0} and held() == [("book", "3"), ("paper", "2")]
+
+
+def test_of_two_writers_the_later_fails(spark, tmp_path, monkeypatch):
+    one, two = (VectorStore(spark, str(tmp_path), HashEmbedder(), buckets=2) for _ in range(2))
+    one.sync(form(spark, [("1", "book", "tcp reno")]))
+    version = two._version()
+    reader = two.read()
+    one.sync(form(spark, [("2", "book", "quic")]))
+    assert [r.id for r in reader.collect()] == ["1"]  # a version before goes on
+    monkeypatch.setattr(two, "_version", lambda: version)
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.sync(form(spark, [("3", "book", "dns")]))
+    monkeypatch.undo()
+    assert [r.id for r in two.read().collect()] == ["2"] and two.sync(form(spark, [("3", "book", "dns")]))["added"] == 1
+    assert len(one.notes.names("versions")) == 2 and len(one.notes.names("pending")) == 0
