@@ -9,14 +9,13 @@ leaves nothing that counts."""
 from __future__ import annotations
 
 import base64
-import json
 import re
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.notes import Notes
 from . import common
 
 TOKENIZERS = "/opt/tokenizers"
@@ -76,54 +75,17 @@ class Ledger:
     """Signed sums of batches in a folder that driver and executors share.
 
     data/ has the sums of batches and of compactions under names of their own. What counts is told by small files:
-    batches/<id> names the data of a batch, totals/<number> those of a compaction and the batches that it holds. They are
-    written aside and renamed to a name that must be free, so of two drivers one commits; data that no file names
-    don't count."""
+    batches/<id> names the data of a batch, totals/<number> those of a compaction and the batches that it holds. Of two
+    drivers one can put such a file; data that no file names don't count."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._at("").getFileSystem(conf)
-        self._files = self._hadoop.FileContext.getFileContext(self._fs.makeQualified(self._at("")).toUri(), conf)
-
-    def _at(self, name: str):
-        return self._hadoop.Path(f"{self.folder}/{name}")
-
-    def _publish(self, name: str, said: dict) -> bool:
-        """A small file under a free name, whole or not at all; False if the name is taken."""
-        aside = self._at(f"pending/{uuid.uuid4().hex}")
-        stream = self._fs.create(aside, False)
-        stream.write(json.dumps(said).encode())
-        stream.close()
-        self._fs.mkdirs(self._at(name).getParent())
-        keep = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
-        keep[0] = self._hadoop.Options.Rename.NONE
-        try:
-            self._files.rename(aside, self._at(name), keep)
-        except Py4JJavaError as error:
-            self._fs.delete(aside, False)
-            if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
-                return False
-            raise
-        return True
-
-    def _read(self, name: str) -> dict:
-        stream = self._fs.open(self._at(name))
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _names(self, folder: str) -> list[str]:
-        if not self._fs.exists(self._at(folder)):
-            return []
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._at(folder)))
+        self.notes = Notes(spark, folder)
 
     def has(self, batch: str) -> bool:
         if not batch or not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"a batch id has letters, digits, - and _ only: {batch!r}")
-        return self._fs.exists(self._at(f"batches/{batch}"))
+        return self.notes.has(f"batches/{batch}")
 
     def _store(self, sums: DataFrame) -> str:
         name = uuid.uuid4().hex
@@ -137,19 +99,19 @@ class Ledger:
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
         name = self._store(sums)
-        if self._publish(f"batches/{batch}", {"data": name}):
+        if self.notes.put(f"batches/{batch}", {"data": name}):
             return True
-        common.remove(self.spark, f"{self.folder}/data/{name}")  # another driver was first
+        self.notes.remove(f"data/{name}")  # another driver was first
         return False
 
     def _current(self) -> tuple[dict, list[str]]:
         """What the latest compaction says, and the batches since."""
-        told = self._names("totals")
-        latest = self._read(f"totals/{told[-1]}") if told else {"data": None, "batches": [], "number": 0}
-        return latest, [b for b in self._names("batches") if b not in set(latest["batches"])]
+        told = self.notes.names("totals")
+        latest = self.notes.read(f"totals/{told[-1]}") if told else {"data": None, "batches": [], "number": 0}
+        return latest, [b for b in self.notes.names("batches") if b not in set(latest["batches"])]
 
     def _sums(self, latest: dict, batches: list[str]) -> DataFrame:
-        names = [latest["data"]] * (latest["data"] is not None) + [self._read(f"batches/{b}")["data"] for b in batches]
+        names = [latest["data"]] * (latest["data"] is not None) + [self.notes.read(f"batches/{b}")["data"] for b in batches]
         if not names:
             return self.spark.createDataFrame([], SUMS)
         rows = self.spark.read.schema(SUMS).parquet(*(f"{self.folder}/data/{n}" for n in names))
@@ -162,9 +124,9 @@ class Ledger:
         if not batches:
             return False
         number, name = latest["number"] + 1, self._store(self._sums(latest, batches))
-        if self._publish(f"totals/{number:012d}", {"data": name, "batches": sorted([*latest["batches"], *batches]), "number": number}):
+        if self.notes.put(f"totals/{number:012d}", {"data": name, "batches": sorted([*latest["batches"], *batches]), "number": number}):
             return True
-        common.remove(self.spark, f"{self.folder}/data/{name}")
+        self.notes.remove(f"data/{name}")
         return False
 
     def totals(self) -> DataFrame:

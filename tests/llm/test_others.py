@@ -114,7 +114,7 @@ def test_two_committers(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(tokens.Ledger, "_store", late)
     assert not second.commit("x", two) and taken == [True]
-    assert [tuple(r) for r in second.totals().collect()] == [("a", "en", "t", 1, 4)] and len(first._names("data")) == 1 and first._names("pending") == []
+    assert [tuple(r) for r in second.totals().collect()] == [("a", "en", "t", 1, 4)] and len(first.notes.names("data")) == 1 and first.notes.names("pending") == []
 
 
 def test_compaction(spark, tmp_path, monkeypatch):
@@ -125,11 +125,11 @@ def test_compaction(spark, tmp_path, monkeypatch):
     assert not ledger.compact() and batch("a", 5) and batch("b", 6) and ledger.compact() and not ledger.compact()
     assert totals() == [("a", None, "t", 2, 11)] and not batch("a", 5) and batch("c", -5) and totals() == [("a", None, "t", 1, 6)]
     with monkeypatch.context() as m:  # a driver that is lost before the totals are published
-        m.setattr(ledger, "_publish", lambda name, said: 1 / 0)
+        m.setattr(ledger.notes, "put", lambda name, said: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             ledger.compact()
     assert totals() == [("a", None, "t", 1, 6)] and ledger.compact() and totals() == [("a", None, "t", 1, 6)]
-    assert len(ledger._names("totals")) == 2 and batch("d", -6) and totals() == []
+    assert len(ledger.notes.names("totals")) == 2 and batch("d", -6) and totals() == []
 
 
 def test_long_white_space_keeps_its_tokens():
