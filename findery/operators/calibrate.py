@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 SIGNALS = ("top1", "margin", "spread")
 LEVELS = ((0.8, "high"), (0.5, "medium"), (0.0, "low"))
 BINS = 10
@@ -91,8 +93,11 @@ def isotonic(rows: DataFrame, by: list[str], x: str = "x", y: str = "y", monoton
 def lookup(rows: DataFrame, steps: DataFrame, by: list[str], x: str = "x") -> DataFrame:
     """rows with p of the last step that begins at or before x, of the first step below all. As-of join: the few
     steps of a key are one array, searched by expression."""
-    listed = steps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x_from", "p"))).alias("__steps"))
-    joined = rows.join(F.broadcast(listed), by, "left") if by else rows.crossJoin(F.broadcast(listed))  # steps were pooled
+    keys = by or ["__all"]  # without keys there is one array
+    if not by:
+        rows, steps = rows.withColumn("__all", F.lit(0)), steps.withColumn("__all", F.lit(0))
+    listed = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x_from", "p"))).alias("__steps"))
+    joined = rows.join(settled(listed, "steps"), keys, "left").drop("__all")
     passed = F.filter("__steps", lambda s: s["x_from"] <= F.col(x))
     step = F.when(F.size(passed) > 0, F.element_at(passed, -1)).otherwise(F.get("__steps", F.lit(0)))
     return joined.withColumn("p", step["p"]).drop("__steps")

@@ -146,7 +146,24 @@ def numbering_profile(spark, sf_dir):
     return sections.numbering_profile(sections.heading_lines(as_book_pages(spark, sf_dir)))
 
 
-@query("section_paths")
+_TITLED = r"title <> '' AND NOT regexp_matches(title, '(?i)^(figure|table)\s+\d')"
+
+
+@query(
+    "section_paths",
+    f"""WITH RECURSIVE {_BOOK}, hd AS (SELECT doc, page, line_no, hashes, depth, title, row_number() OVER (PARTITION BY doc ORDER BY page, line_no) AS k FROM headings WHERE {_TITLED}),
+    c AS (SELECT doc, depth, hashes, count(*) AS n, min((page, line_no)) AS first FROM headings WHERE depth IS NOT NULL GROUP BY ALL),
+    u AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY depth, n DESC, first) AS j, max(depth) OVER (PARTITION BY doc) AS deepest FROM c),
+    h AS (SELECT hd.*, greatest(1, hashes - coalesce(u.hashes_of - u.depth_of, 0)) AS signs, coalesce(deepest, 0) AS deepest FROM hd LEFT JOIN (SELECT doc, hashes AS hashes_of, depth AS depth_of, deepest FROM u WHERE j = 1) u USING (doc)),
+    open_at AS (SELECT DISTINCT doc, 0::BIGINT AS k, []::STRUCT(level BIGINT, title VARCHAR, numbered BOOLEAN)[] AS stack FROM h
+      UNION ALL SELECT doc, k, list_append(list_filter(stack, lambda o: o.level < lv), {{'level': lv, 'title': title, 'numbered': depth IS NOT NULL}}) FROM
+      (SELECT h.doc, h.k, h.title, h.depth, stack, CASE WHEN depth IS NOT NULL THEN depth WHEN signs >= deepest THEN greatest(signs, 1 + coalesce(list_max(list_transform(list_filter(stack, lambda o: o.numbered), lambda o: o.level)), 0)) ELSE signs END::BIGINT AS lv
+       FROM open_at JOIN h ON h.doc = open_at.doc AND h.k = open_at.k + 1)),
+    placed AS (SELECT l.*, hd.k IS NOT NULL AS heading, count(hd.k) OVER (PARTITION BY l.doc ORDER BY l.page, l.line_no) AS section_no FROM lines l LEFT JOIN hd ON hd.doc = l.doc AND hd.page = l.page AND hd.line_no = l.line_no),
+    body AS (SELECT doc, section_no, string_agg(line, chr(10) ORDER BY page, line_no) AS text, min(page) FILTER ({STRIP % 'line'} <> '') AS page FROM placed WHERE NOT heading GROUP BY ALL)
+    SELECT body.doc, section_no::INT AS section_no, coalesce(array_to_string(list_transform(stack, lambda o: o.title), ' > '), '') AS path, page::INT AS page, md5({STRIP % 'text'}) AS text
+    FROM body LEFT JOIN open_at o ON o.doc = body.doc AND o.k = section_no WHERE page IS NOT NULL""",
+)
 def section_paths(spark, sf_dir):
     rows = sections.split_sections(as_book_pages(spark, sf_dir))
     return rows.select("doc", "section_no", F.array_join("path", " > ").alias("path"), "page", F.md5("text").alias("text"))
@@ -241,13 +258,18 @@ def dense_topk_scoped(spark, sf_dir):
     return retrieve.dense(query_vectors(spark, sf_dir), stored_vectors(spark, sf_dir))
 
 
-@query("cosine_to_label_mean")
+@query(
+    "cosine_to_label_mean",
+    """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM e),
+    a AS (SELECT label, k, avg(x) AS x FROM x GROUP BY ALL), m AS (SELECT label, list(x ORDER BY k) AS mean FROM a GROUP BY label)
+    SELECT id, round(list_cosine_similarity(v, mean), 6) AS cosine FROM e JOIN m USING (label)""",
+)
 def cosine_to_label_mean(spark, sf_dir):
     """Cosine of each vector and the mean of its label, by array expressions."""
     rows = stored_vectors(spark, sf_dir)
     parts = rows.select("source", F.posexplode("embedding").alias("k", "x")).groupBy("source", "k").agg(F.avg("x").alias("x"))
     means = parts.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("mean"))
-    return rows.join(F.broadcast(means), "source").select("id", F.round(vectors.dot(vectors.unit(F.col("embedding")), vectors.unit(F.col("mean"))), 6).alias("cosine"))  # one row a label
+    return rows.join(settled(means, "means"), "source").select("id", F.round(vectors.dot(vectors.unit(F.col("embedding")), vectors.unit(F.col("mean"))), 6).alias("cosine"))
 
 
 _RERANK = f"""{_BM25 % 'true'}, c AS (SELECT * FROM h WHERE rank <= {retrieve.CANDIDATES}),

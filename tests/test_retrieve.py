@@ -168,3 +168,18 @@ def test_of_two_writers_the_later_fails(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert [r.id for r in two.read().collect()] == ["2"] and two.sync(form(spark, [("3", "book", "dns")]))["added"] == 1
     assert len(one.notes.names("versions")) == 2 and len(one.notes.names("pending")) == 0
+
+
+def test_dense_in_blocks_and_passes(spark, monkeypatch):
+    import numpy as np
+
+    from findery.operators import retrieve
+
+    rng = np.random.default_rng(4)
+    stored = spark.createDataFrame([(i, f"s{i % 3}", v.tolist()) for i, v in enumerate(rng.normal(size=(50, 6)))], "id long, source string, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(23, 6)))], "query_id long, embedding array<double>")
+    want = sorted(map(tuple, retrieve.dense(asked, stored, 4).collect()))
+    for block, size in ((5, 64 << 20), (5, 6 * 8 * 9), (1, 1)):
+        monkeypatch.setattr(retrieve, "BLOCK", block)
+        monkeypatch.setattr(retrieve, "PASS_BYTES", size)
+        assert sorted(map(tuple, retrieve.dense(asked, stored, 4).collect())) == want
