@@ -34,5 +34,18 @@ def test_from_book_to_answer(spark, tmp_path, capsys):
     cli.main(["report", at("results"), "--mode", "evidence", *common], spark)
     again = capsys.readouterr().out
     assert "bm25                recall@1    1.000" in again
-    cli.main(["ask", "gamma protocol", "--chunks", at("chunks.jsonl"), "--retriever", "bm25", "--llm", "none", "-k", "2"], spark)
-    assert "Chapter gamma" in capsys.readouterr().out
+    cli.main(["--progress", "ask", "gamma protocol", "--chunks", at("chunks.jsonl"), "--retriever", "bm25", "--llm", "none", "-k", "2"], spark)
+    shown = capsys.readouterr()
+    assert "Chapter gamma" in shown.out and "ask: " in shown.err and " tasks" in shown.err
+
+
+def test_progress_of_jobs(spark):
+    from findery import progress
+
+    told = []
+    with progress.watch(spark, lambda *now: told.append(now), "count", 0.01):
+        assert spark.range(0, 1000, 1, 5).selectExpr("id % 7 AS k").groupBy("k").count().count() == 7
+    label, done, known = told[-1]
+    assert label == "count" and done > 0 and known >= done and [t[1] for t in told] == sorted(t[1] for t in told)
+    spark.range(3).count()
+    assert told[-1] == (label, done, known)
