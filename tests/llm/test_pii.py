@@ -76,3 +76,40 @@ def test_very_long_runs_through_the_query(spark, docs_of, tmp_path):
         want = pii.brute_base(text)
         assert rows[i].base_sha256 == pii.digest(want) and rows[i].n_ip == sum(s[0] == "ip" for s in want)
     assert [rows[i].n_ip for i in range(3)] == [1, 1, 0] and rows[5].n_email == 1 and not any(rows[i].spans for i in (3, 4, 6))
+
+
+ibans = st.builds(lambda country, body: (country, body.upper()), st.sampled_from(["DE", "FR", "GB", "NO"]), st.text("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", min_size=11, max_size=30))
+
+
+def written(compact, gaps):
+    return " ".join(compact[i : i + 4] for i in range(0, len(compact), 4)) if gaps else compact
+
+
+@given(ibans, st.booleans(), st.integers(1, 96))
+@settings(max_examples=300, deadline=None)
+def test_account_numbers_with_check_digits(parts, gaps, off):
+    """The right check digits are found, any others not."""
+    country, body = parts
+    rest = int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    good, bad = f"{country}{98 - rest:02d}{body}", f"{country}{(98 - rest + off - 2) % 97 + 2:02d}{body}"
+    found = lambda code: [s for s in pii.find(f"my IBAN: {written(code, gaps)}; thanks", ANCHORS) if s[0] == "iban"]
+    assert found(good) == [("iban", 9, 9 + len(written(good, gaps)))]
+    assert bad == good or all(s[2] < 9 + len(written(bad, gaps)) for s in found(bad))
+
+
+@given(st.sampled_from(pii.CUES), st.sampled_from([" ", ": ", " no. ", " number ", "=", "# "]), st.text("0123456789", min_size=1, max_size=24), st.sampled_from(["", " ", "-"]), st.sampled_from(["", "(", "a ", "x", "7"]))
+@settings(max_examples=400, deadline=None)
+def test_numbers_after_cues(cue, between, digits, gap, before):
+    number = gap.join(digits[i : i + 3] for i in range(0, len(digits), 3))
+    text = f"{before}{cue}{between}{number}."
+    spans = pii.find(text, ANCHORS)
+    start = len(text) - 1 - len(number)
+    whole = 6 <= len(digits) <= 20 and before not in ("x", "7") and not any(k in pii.BASE and a < len(text) - 1 and start < b for k, a, b in spans)
+    assert [s for s in spans if s[0] == "account"] == [("account", start, len(text) - 1)] * whole
+
+
+@given(st.sampled_from(["http", "ftp", "x1"]), st.text("abcXYZ09._", min_size=1, max_size=8), st.text("ab1", max_size=5), st.sampled_from(["host.org", "h", "10.0.0.1"]), st.sampled_from(["", "/p?q=1", ":8080/x"]))
+@settings(max_examples=200, deadline=None)
+def test_links_with_a_user(scheme, user, word, host, path):
+    link = f"{scheme}://{user}:{word}@{host}{path}"
+    assert [s for s in pii.find(f"see {link}, or {scheme}://{host}/a@b", ANCHORS) if s[0] == "link"] == [("link", 4, 4 + len(link))]

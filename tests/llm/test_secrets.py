@@ -92,3 +92,50 @@ def test_keys_of_many_lines_are_whole():
     assert novel("\n".join(["private key", *lines[:3], "thanks", "for it"])) == lines[:3]
     assert novel(f"bearer {lines[0][:44]}\nfile2.txt\nresponsibilities\n") == [lines[0][:44]]
     secrets.find("private key\n" + "\n".join(lines * 300))
+
+
+def plain_novel(text):
+    """Novel spans of a text of one line, place by place: every run that begins in the reach of a context, measured by a
+    compressor of its own."""
+    import zstandard
+
+    signs = set(string.ascii_letters + string.digits + "+/_=.~-")
+    size = lambda data, primer: len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False).compress(data))
+    out, past = [], 0
+    for m in secrets.CONTEXT.finditer(text):
+        at = m.end()
+        while at < min(len(text), m.end() + secrets.REACH):
+            end = at
+            while end < len(text) and text[end] in signs:
+                end += 1
+            if end - at >= 12 and at >= past:
+                past = end
+                word = text[at:end]
+                if not any(a < end and at < b for _, a, b in brute(text)) and not secrets.wordlike(word):
+                    around = text[max(0, at - 200) : at] + "\n" + text[end : end + 200]
+                    around = re.sub(r"[A-Za-z0-9+/_=.~-]{12,}", lambda w: w[0] if secrets.wordlike(w[0]) else " ", around)
+                    primer = (secrets.IDENTIFIERS + "\n" + around).encode()
+                    added = size(word.encode(), primer) - size(b"", primer)
+                    if added >= 9 and added >= 0.55 * len(word):
+                        out.append(("novel", at, end))
+            at = max(end, at) + 1
+    return out
+
+
+def test_the_query_against_plain_python(spark, docs_of, tmp_path):
+    rng = random.Random(21)
+    made = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    parts = [
+        lambda: rng.choice(["token", "bearer", "client_secret", "session_id:", "Authorization", "passphrase is", "private key", "pwd="]), lambda: rng.choice(["the", "house", "configuration", "of", "responsibilities", "user_name", "é"]),
+        lambda: made(string.ascii_letters + string.digits, rng.randint(8, 40)), lambda: made(string.ascii_lowercase, rng.randint(10, 30)), lambda: made("ab1", 30), lambda: "AKIA" + made(string.ascii_uppercase + string.digits, 18), lambda: made("0123456789abcdef", 28), lambda: "192.168.100.200", lambda: "of it " * 15,
+    ]
+    texts = ["".join(rng.choice(parts)() + rng.choice([" ", " ", " = ", ": ", ", "]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    docs_of(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in secrets.op10_zstd_novelty(spark, str(tmp_path)).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        base, novel_ = brute(text), plain_novel(text)
+        found += len(novel_)
+        assert rows[i].base_sha256 == secrets.digest(base)
+        assert rows[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base + novel_, key=lambda s: (s[1], secrets.KINDS.index(s[0]))))
+    assert found > 50
