@@ -91,6 +91,7 @@ def mix(rows: DataFrame) -> DataFrame:
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, source, size, source_size, target, taken."""
     docs = common.load(spark, sf_dir, "documents")
     sized = common.stage(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size")), "mix-sizes")
     return mix(sized)

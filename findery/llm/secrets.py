@@ -188,6 +188,7 @@ def find_secrets(docs: DataFrame, min_novelty: float = MIN_NOVELTY) -> DataFrame
 
 
 def op10_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, numbers of the base kinds, a digest of the base spans, all spans, the highest novelty."""
     docs = find_secrets(common.load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     part = lambda kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
