@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, language, mixing, pii, quality, revisits, secrets, tokens
+from . import bpe, chat, decontaminate, jaccard, language, lloyd, mixing, pii, quality, revisits, secrets, tokens
 
 QUERIES = {
     "op1_anchor_expansion": pii.op1_anchor_expansion,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_perspective_rotation": chat.op9_perspective_rotation,
     "op10_zstd_novelty": secrets.op10_zstd_novelty,
+    "op11_prefix_trie": bpe.op11_prefix_trie,
+    "op12_delta_lloyd": lloyd.op12_delta_lloyd,
 }
 SQL: dict[str, str] = {
     "op2_revisit_resolution": revisits.SQL,
@@ -22,4 +24,5 @@ SQL: dict[str, str] = {
     "op7_chosen_path_join": jaccard.SQL,
     "op8_pareto_mix": mixing.SQL,
     "op9_perspective_rotation": chat.SQL,
+    "op12_delta_lloyd": lloyd.SQL,
 }
