@@ -13,13 +13,16 @@ MIN_EVIDENCE = 20
 THRESHOLD = 90.0
 
 
-def evidence_ok(evidence: Column, text: Column, threshold: float = THRESHOLD, ascii_only: bool = False) -> Column:
+def evidence_ok(evidence: Column, text: Column, threshold: float | None = THRESHOLD, ascii_only: bool = False) -> Column:
     """Whether the evidence, normalised and of 20 characters or more, nearly occurs in the text (or the text in it).
 
-    What is contained is decided by expressions; only the rest is compared in Python. Never null."""
+    What is contained is decided by expressions; only the rest is compared in Python, and without a threshold nothing
+    is. Never null."""
     a, b = tx.comparable(evidence, ascii_only), tx.comparable(text, ascii_only)
     long = F.coalesce(F.length(a) >= MIN_EVIDENCE, F.lit(False)) & b.isNotNull()
     inside = long & (F.contains(b, a) | ((b != "") & F.contains(a, b)))
+    if threshold is None:
+        return inside
     rest = long & ~inside & (b != "")
     near = fuzzy.ratio_column(F.when(rest, a), F.when(rest, b), threshold) >= threshold
     return inside | F.coalesce(near, F.lit(False))
