@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import SparkSession
 
@@ -34,7 +34,9 @@ def watch(spark: SparkSession, told: Told, label: str = "", every: float = 0.5)
             told(label, *now)
 
     def loop() -> None:
-        while not over.wait(every):
+        with suppress(Exception):
+            while not over.wait(every):
+                look()
             look()
 
     thread = threading.Thread(target=loop, daemon=True)
@@ -45,4 +47,3 @@ def watch(spark: SparkSession, told: Told, label: str = "", every: float = 0.5)
         over.set()
         thread.join()
         sc.setLocalProperty("spark.jobGroup.id", before)
-        look()

@@ -1,0 +1,92 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from findery.functions.vectors import HashEmbedder
+from findery.operators import cells, retrieve
+from findery.plans import catalogue
+from findery.sources.store import VectorStore
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    rows = catalogue.stored_vectors(spark, SF)
+    centres = cells.learn(rows)
+    return cells.with_cells(rows, centres).persist(), centres
+
+
+def test_recall_of_the_query_set(spark, stored):
+    """Ids divisible by 20 against all rows, with the default number of cells and probes."""
+    rows, centres = stored
+    asked = catalogue.query_vectors(spark, SF).drop("source")
+    exact = retrieve.dense(asked, rows)
+    got = cells.recall(cells.search(asked, rows, centres), exact).first()
+    assert got.n == 500 and got.recall >= 0.9
+    assert rows.where("cell is null").count() == 0
+
+
+def test_all_cells_are_exact_in_any_pieces(spark, stored):
+    rows, centres = stored[0], stored[1][:6]
+    rows = cells.with_cells(rows.drop("cell"), centres)
+    asked = catalogue.query_vectors(spark, SF)
+    exact = sorted(map(tuple, retrieve.dense(asked, rows).collect()))
+    for piece in (40,):
+        assert sorted(map(tuple, cells.search(asked, rows, centres, probes=1.0, piece=piece).collect())) == exact
+
+
+def test_a_cell_of_many_copies_is_dealt_out(spark):
+    """All vectors in one cell: no task sees more than about a piece of them."""
+    rows = spark.range(2000).select("id", F.lit("s").alias("source"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"), F.lit(0).alias("cell"))
+    asked = spark.createDataFrame([(1, [1.0, 0.5])], "query_id long, embedding array<double>")
+    found = cells.search(asked, rows, np.array([[1.0, 0.0]]), 3, piece=100)
+    assert [r.id for r in found.orderBy("rank").collect()] == [0, 1, 2]
+    assert rows.groupBy(F.pmod(F.xxhash64("id", "source"), F.lit(20))).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, "a", [0.0, 0.0]), (2, "a", None), (3, None, []), (4, "b", [1.0, 0.0])], "id long, source string, embedding array<double>")
+    centres = cells.learn(rows)
+    placed = cells.with_cells(rows, centres)
+    assert {r.id: r.cell for r in placed.collect()} == {1: 0, 2: None, 3: None, 4: 0}
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("n", None), ("e", [])], "query_id string, embedding array<double>")
+    assert [tuple(r) for r in cells.search(asked, placed, centres).orderBy("rank").collect()] == [("q", 1, 4, 1.0), ("q", 2, 1, 0.0)]
+    none = cells.search(asked, placed.limit(0), cells.learn(rows.limit(0)))
+    assert none.count() == 0 and none.columns == ["query_id", "rank", "id", "score"] and cells.search(asked, placed.limit(0), centres).count() == 0
+    assert retrieve.dense(asked.limit(0), placed.withColumn("id", F.col("id").cast("string"))).schema["id"].dataType.simpleString() == "string"
+
+
+def test_tune(stored):
+    rows, centres = stored
+    share = cells.tune(rows, centres, target=0.9, n_queries=100)
+    assert 0.01 < share <= 0.4
+
+
+def chunks(spark, rows):
+    made = spark.createDataFrame(rows, "id string, text string, source string")
+    return made.select("id", "text", F.struct("source", F.lit("").alias("section"), F.lit(1).alias("page"), F.lit(0).alias("part")).alias("metadata"))
+
+
+def test_store_keeps_its_cells(spark, tmp_path):
+    """Rows that come later have cells of the same centres; with all cells, and without, results are the same; a sync or
+    search of some sources opens their buckets only."""
+    texts = [(f"c{i}", f"word{i % 13} other{i % 7} more{i}", f"s{i % 9}") for i in range(90)]
+    store = VectorStore(spark, f"{tmp_path}/v", HashEmbedder(16), buckets=8)
+    assert store.build_cells() == 0
+    store.sync(chunks(spark, texts[:60]))
+    assert store.read().where("cell is not null").count() == 0
+    assert store.build_cells(6) == 6
+    store.sync(chunks(spark, texts))
+    rows = store.read()
+    assert rows.count() == 90 and rows.where("cell is null").count() == 0
+    asked = spark.createDataFrame([(1, "word3 other5"), (2, "more7"), (3, " ")], "query_id long, query string")
+    exact = sorted(map(tuple, store.query(asked).collect()))
+    assert sorted(map(tuple, store.query(asked, probes=1.0).collect())) == exact
+    assert set(map(tuple, store.query(asked, 50, probes=0.2).select("query_id", "id").collect())) < set(map(tuple, store.query(asked, 90).select("query_id", "id").collect()))
+    some = store.query(asked, scope=["s1"])
+    opened = {f.split("bucket=")[1].split("/")[0] for f in some.inputFiles()}
+    assert len(opened) == 1 and {r.id for r in some.collect()} <= {c for c, _, s in texts if s == "s1"}
+    assert sorted(map(tuple, store.query(asked, scope=["s1"], probes=1.0).collect())) == sorted(map(tuple, some.collect()))
+    assert store.remove_source("s1") == 10 and store.read().where("cell is null").count() == 0
+    assert {r.source for r in store.query(asked, 90, probes=1.0).join(store.read().select("id", "source"), "id").collect()} == {f"s{i}" for i in range(9) if i != 1}

@@ -39,3 +39,22 @@ def test_event_windows(spark, tmp_path):
     q = ingest.event_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("windows").collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
+
+
+def test_files_of_one_name_share_a_source_and_stay(spark, tmp_path):
+    """Files that arrive one after the other under one name add up; a batch whose commit was lost
+    changes nothing."""
+    files = tmp_path / "files"
+    store = VectorStore(spark, f"{tmp_path}/store", HashEmbedder(), buckets=4)
+    run = lambda: ingest.sync_files(spark, str(files), store, f"{tmp_path}/checkpoint").awaitTermination()
+    read = lambda: sorted(r.text.split()[0] for r in store.read().collect())
+    for folder, tag in (("a", "x"), ("b", "y"), ("c", "z")):
+        (files / folder).mkdir(parents=True)
+        (files / folder / "notes.md").write_text(words(40, tag))
+        run()
+    assert read() == ["x0", "y0", "z0"]
+    for p in (tmp_path / "checkpoint" / "commits").iterdir():
+        if p.name.lstrip(".").startswith("2"):
+            p.unlink()
+    run()
+    assert read() == ["x0", "y0", "z0"]
