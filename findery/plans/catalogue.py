@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import prompt, vectors
 from ..functions import text as tx
-from ..operators import answer, calibrate, chunk, clean, index, judge, metrics, questions, retrieve, sections
+from ..operators import answer, calibrate, cells, chunk, clean, index, judge, metrics, questions, retrieve, sections
 from ..session import bounded, settled, spread, temporary
 from ..sources import records
+from ..sources.inverted import InvertedIndex
 from ..sources.store import VectorStore
 from . import evaluate, ingest
 
@@ -234,6 +235,27 @@ def bm25_topk_source(spark, sf_dir):
     return retrieve.bm25(scoped_questions(spark, sf_dir), as_chunks(spark, sf_dir))
 
 
+@query("bm25_index_topk", f"WITH {_BM25 % 'true'} SELECT query_id, rank::INT AS rank, id, score FROM h WHERE rank <= 5")
+def bm25_index_topk(spark, sf_dir):
+    """BM25 from a kept index of blocks."""
+    kept = InvertedIndex(spark, temporary(spark, "inverted"), buckets=16, id_type="bigint")
+    kept.sync(as_chunks(spark, sf_dir))
+    return kept.search(as_questions(spark, sf_dir))
+
+
+_NEWER = "documents WHERE doc_id % 5 <> 0 OR source NOT IN (SELECT source FROM documents WHERE doc_id % 5 <> 0) AND doc_id % 3 <> 0 AND source <> 'src7'"
+
+
+@query("bm25_index_delta", f"WITH {(_BM25 % 'true').replace('FROM documents)', f'FROM {_NEWER})')} SELECT query_id, rank::INT AS rank, id, score FROM h WHERE rank <= 5")
+def bm25_index_delta(spark, sf_dir):
+    """BM25 from an index that went from the old version to the new one by deltas."""
+    new, old = versions(spark, sf_dir)
+    kept = InvertedIndex(spark, temporary(spark, "inverted"), buckets=16, id_type="bigint")
+    kept.sync(old)
+    kept.sync(new)
+    return kept.search(as_questions(spark, sf_dir))
+
+
 _DENSE = """u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, label AS want, e AS x FROM u WHERE mod(vec_id, 20) = 0),
 s AS (SELECT query_id, vec_id AS id, round(list_inner_product(x, e) / sqrt(list_inner_product(x, x)) / sqrt(list_inner_product(e, e)), 6) + 0.0 AS score FROM q, u WHERE %s),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
@@ -258,6 +280,22 @@ def dense_topk_scoped(spark, sf_dir):
     return retrieve.dense(query_vectors(spark, sf_dir), stored_vectors(spark, sf_dir))
 
 
+@query("cells_topk")
+def cells_topk(spark, sf_dir):
+    """Nearest vectors by cells with the default number of probes; tests hold its recall."""
+    rows = stored_vectors(spark, sf_dir)
+    centres = cells.learn(rows)
+    return cells.search(query_vectors(spark, sf_dir).drop("source"), cells.with_cells(rows, centres), centres)
+
+
+@query("cells_topk_exact", f"WITH {_DENSE % 'want = label'} SELECT query_id, rank::INT AS rank, id, score FROM r WHERE rank <= 5")
+def cells_topk_exact(spark, sf_dir):
+    """The same joins of cells with all cells probed, scoped: as exact search gives it."""
+    rows = stored_vectors(spark, sf_dir)
+    centres = cells.learn(rows, 16)
+    return cells.search(query_vectors(spark, sf_dir), cells.with_cells(rows, centres), centres, probes=1.0)
+
+
 @query(
     "cosine_to_label_mean",
     """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM e),
