@@ -57,9 +57,10 @@ def mix(rows: DataFrame) -> DataFrame:
     """rows (doc_id, source, size and any others) with source_size, target, taken.
 
     taken is in words, at most MAX_TIMES of size; a source of no words takes none. Null sources are one source.
-    Rows that are equal in all of doc_id, source and size are interchangeable. Columns of these names are replaced.
-    An empty table gives an empty one."""
+    Rows that are equal in all of doc_id, source and size are interchangeable. Columns of these names are replaced, all
+    others stay, whatever their names are. An empty table gives an empty one."""
     rows = rows.drop("source_size", "target", "taken")
+    names, (rows, _) = rows.columns, common.shield(rows, ("doc_id", "source", "size"))
     lean = (F.lit(SHORT * UNIT).cast("long") / (SHORT + F.col("size"))).cast("long")  # whole: sums don't depend on order
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * lean).alias("__lean"))
     sources = common.stage(source_targets(sums), "mix-sources")
@@ -87,7 +88,8 @@ def mix(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("source").orderBy("__v", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = ended.where(at_end).withColumn("__upto", F.sum("size").over(order))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__upto") + F.col("size")))
-    return clear.unionByName(edge.select(*given, (sure + part).alias("taken")))
+    out = clear.unionByName(edge.select(*given, (sure + part).alias("taken")))
+    return out.select(*(F.col(c).alias(name) for c, name in zip(rows.columns, names, strict=True)), "source_size", "target", "taken")
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,15 @@ def test_many_sources_without_broadcast(spark, monkeypatch):
     out = mixing.mix(sized(spark, rows))
     assert out.count() == 500
     assert out.groupBy("source").agg((F.abs(F.sum("taken") - F.max("target"))).alias("d")).where("d > 0.5").isEmpty()
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"s{i % 3}", 10 + i, f"mine {i}") for i in range(60)]
+    odd = ("__b", "__m", "__key", "__salt", "__v", "__upto", "__end", "part", "lean", "a.b", "__rank")
+    plain = spark.createDataFrame(rows, "doc_id long, source string, size long, note string")
+    wide = plain.select("*", *(F.concat(F.lit(f"{c} "), "note").alias(c) for c in odd))
+    out = mixing.mix(wide)
+    assert out.columns == [*wide.columns, "source_size", "target", "taken"]
+    expected = {r.doc_id: r.taken for r in mixing.mix(plain).collect()}
+    for r in out.collect():
+        assert r.taken == expected[r.doc_id] and all(r[c] == f"{c} mine {r.doc_id}" for c in odd)
