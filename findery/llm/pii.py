@@ -145,7 +145,7 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
     after_run = 0  # past the last run of digits that ip has looked at
     cues: list[int] = []
     links: list[tuple[int, int]] = []
-    tail = 0
+    tail = trimmed = 0
     for last, (what, length) in anchors.iter(text or ""):
         if what in DIGITS:
             if last >= after_run:
@@ -176,8 +176,10 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
                 cues.append(last + 1)
     for start, end in links:
         if end > tail:
-            tail = _LINK.match(text, end).end()  # of schemes in one run of signs, the first has looked for its end
-        _link(text, start, end, tail, found, free)
+            tail = trimmed = _LINK.match(text, end).end()  # of schemes in one run of signs, the first has looked for its end
+            while trimmed > end and text[trimmed - 1] in ".,;:!?)":
+                trimmed -= 1
+        _link(text, start, end, max(end, trimmed), found, free)
     taken = joined_up(s for kind in (*BASE, "link") for s in found[kind])
     for at in sorted(set(cues)):
         _account(text, at, found, free, taken)
@@ -196,8 +198,6 @@ def joined_up(spans) -> list[tuple[int, int]]:
 
 
 def _link(text: str, start: int, end: int, tail: int, found: dict, free: dict) -> None:
-    while tail > end and text[tail - 1] in ".,;:!?)":
-        tail -= 1
     if text.startswith("://", start):
         while start > free["link"] and text[start - 1] in ALNUM:
             start -= 1

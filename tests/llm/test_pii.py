@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,8 +41,16 @@ def test_clean_prose_has_none():
 
 
 def test_long_texts_are_linear():
-    for text in ("a://" * 100_000, "@" * 100_000, "1." * 100_000, "+1" * 100_000, "account 1234567 " * 10_000):
+    for text in ("a://" * 100_000, "@" * 100_000, "1." * 100_000, "+1" * 100_000, "account 1234567 " * 10_000, "mailto:a," * 100_000 + ")" * 100_000, "x://a)" * 100_000 + "." * 100_000):
+        began = time.time()
         pii.find(text, ANCHORS)
+        assert time.time() - began < 20
+
+
+def test_closing_signs_are_no_part_of_a_link():
+    links = lambda text: [text[a:b] for k, a, b in pii.find(text, ANCHORS) if k == "link"]
+    assert links("see mailto:a@b,mailto:c@d).,") == ["mailto:a@b,mailto:c@d"]
+    assert links("mailto:,,,)") == [] and links("mailto:x)mailto:)).") == ["mailto:x)mailto"]
 
 
 def test_tables(docs_of):
