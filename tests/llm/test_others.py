@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,11 +136,13 @@ def test_compaction(spark, tmp_path, monkeypatch):
 def test_long_white_space_keeps_its_tokens():
     own = tokens.encoder(tokens.FIRST)
     rng = random.Random(3)
-    for run in (" " * 20_000, "\n" * 20_001, " \n\t" * 9_000, "\u3000 " * 15_000):
+    for run in (" " * 20_000, "\n" * 20_001, " \n\t" * 9_000, "\u3000 " * 15_000, " " * 99, " " * 100, "\t " * 101):
         for text in (f"a{run}b", f"{run}b", f"a {run}", f"a{run}", f"x,{run}1{run} \u00e9{run}", run):
             assert tokens.n_tokens(own, text) == len(own.encode_ordinary(text))
+    began = time.time()
+    assert tokens.n_tokens(own, f"word{' ' * 19_999}" * 50) > 50 and time.time() - began < 10
     for _ in range(200):
-        text = "".join(rng.choice([" ", "\n", "a", "b1", "\x1c", "!"]) for _ in range(30))
+        text = "".join(rng.choice([" ", "\n", " " * 120, "\n" * 101, "a", "b1", "\x1c", "!"]) for _ in range(30))
         assert tokens.n_tokens(own, text) == len(own.encode_ordinary(text))
 
 
