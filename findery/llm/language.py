@@ -88,6 +88,9 @@ class Grams:
         return np.concatenate(found)
 
 
+SCORE_CELLS = 8_000_000  # weights that are gathered for a batch at a time: 64 MB
+
+
 class Model:
     """weights: one column a language, over the n-grams of the landmarks, kept sorted."""
 
@@ -95,14 +98,19 @@ class Model:
         self.alphabet, self.vocabulary, self.weights, self.languages = alphabet, vocabulary, weights, languages
 
     def score(self, grams: list[np.ndarray]) -> np.ndarray:
-        """Ridge scores of a batch: rows are texts, columns languages."""
+        """Ridge scores of a batch: rows are texts, columns languages, so many of which are gathered at a time that no more
+        than SCORE_CELLS weights are (or one of each n-gram of the batch)."""
         sizes = np.array([len(g) for g in grams])
         codes = np.concatenate(grams)
         at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
         found = self.vocabulary[at] == codes
-        owner = np.repeat(np.arange(len(grams)), sizes)[found]
-        rows = self.weights[at[found]]
-        out = np.stack([np.bincount(owner, rows[:, k], len(grams)) for k in range(len(self.languages))], 1)
+        owner, at = np.repeat(np.arange(len(grams), dtype=np.int32), sizes)[found], at[found]
+        out = np.empty((len(grams), len(self.languages)))
+        step = max(1, SCORE_CELLS // max(1, len(at)))
+        for first in range(0, len(self.languages), step):
+            rows = self.weights[:, first : first + step][at]
+            for k in range(rows.shape[1]):
+                out[:, first + k] = np.bincount(owner, rows[:, k], len(grams))
         return out / np.sqrt(np.maximum(sizes, 1))[:, None]
 
 
