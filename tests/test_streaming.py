@@ -58,3 +58,17 @@ def test_files_of_one_name_share_a_source_and_stay(spark, tmp_path):
             p.unlink()
     run()
     assert read() == ["x0", "y0", "z0"]
+
+
+def test_errors_of_telling_progress_do_not_reach_the_jobs(spark):
+    from findery.progress import watch
+
+    told = []
+
+    def fails(label, done, known):
+        told.append(done)
+        raise RuntimeError("closed")
+
+    with watch(spark, fails, every=60):  # so that only the last look tells
+        assert spark.range(10).repartition(3).count() == 10
+    assert len(told) == 1
