@@ -17,7 +17,12 @@ compared exactly. A large leaf costs about as much as it has sets:
 
 Equal texts are one set. A pair that meets in several leaves is compared in that of the least key only, the largest
 leaf, which both sets' lists of leaves tell. Tasks give, for each linked set, an edge to the least one of its part,
-from which classes are formed by label propagation. Blocks are cut by sets and tokens, so very long texts fit."""
+from which classes are formed by label propagation. Blocks are cut by sets and tokens, so very long texts fit.
+
+Links of a text are counted exactly inside its class, since a link never leaves one. One minus the similarity is a
+metric: two sets whose distances from a third add up to a fifth at most are linked, two whose distances differ by
+more aren't. So the sets of a large class are put in bands by the distance from a middle one; of most bands this tells
+whether all their pairs are links or none, and only the other bands are compared, in blocks."""
 
 from __future__ import annotations
 
@@ -28,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,6 +53,8 @@ SIMILAR = (4, 5)  # at least 4/5
 COLUMNS = 8192  # of shingles that a comparison takes at once
 LARGEST = (1 << 15) - 1  # sizes of leaves count up to here in their order
 CACHED_WORDS = 200_000
+BANDS = 200  # of distances from 0 to 1
+REACH = BANDS // 5  # bands in the distance of a link
 
 WORDS = re.compile(common.SPACE_WORD)
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -166,8 +173,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Which left sets are similar to which right ones, exactly."""
-    both = np.rint(shared_counts(left, right)).astype(np.int64)
-    union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - both
+    both, union = similarity(left, right)
     return SIMILAR[1] * both >= SIMILAR[0] * union
 
 
@@ -421,10 +427,111 @@ def tasks_of(leaves: DataFrame, known: DataFrame) -> DataFrame:
     return single.unionByName(inner).unionByName(outer)
 
 
-def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+def similarity(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections and of the unions of each left set with each right one."""
+    both = np.rint(shared_counts(left, right)).astype(np.int64)
+    return both, np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - both
+
+
+def middle(group: list[tuple]) -> list[tuple]:
+    """(label, tid, tokens) of a sample of a class -> (label, tid) of the set that is nearest to all of them."""
+    both, union = similarity(*[[np.frombuffer(g[2], np.uint64) for g in group]] * 2)
+    return [group[int((both / union).sum(1).argmax())][:2]]
+
+
+def bands(group: list[tuple]) -> list[tuple]:
+    """(label, block, middle, tid, tokens) of one block and the middle set of its class -> (tid, band of the distance)."""
+    centre = [np.frombuffer(g[4], np.uint64) for g in group if g[2]]
+    rows = [g for g in group if not g[2]]
+    if not rows:
+        return []
+    both, union = similarity([np.frombuffer(g[4], np.uint64) for g in rows], centre)
+    return [(g[3], b) for g, b in zip(rows, (BANDS * (union - both) // union)[:, 0].tolist(), strict=True)]
+
+
+def count_links(group: list[tuple], at: int) -> list[tuple]:
+    """Rows of one task, with side, tid and tokens from column at on -> (tid, number of its links in the task). Side 2 is
+    both sides: all pairs of the rows; else those of rows of side 0 and 1."""
+    left, right = sides(group, at)
+    if not left or not right:
+        return []
+    sets = [np.frombuffer(g[at + 2], np.uint64) for g in group]
+    links = linked([sets[i] for i in left], [sets[i] for i in right])
+    if left == right:
+        np.fill_diagonal(links, False)
+        return [(g[at + 1], n) for g, n in zip(group, links.sum(1).tolist(), strict=True) if n]
+    ends = [*zip(left, links.sum(1).tolist(), strict=True), *zip(right, links.sum(0).tolist(), strict=True)]
+    return [(group[i][at + 1], n) for i, n in ends if n]
+
+
+def banded(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Sets of large classes (label, tid, size, weight, least) -> (label, tid, size, band) by the distance from a middle
+    set of the class, which is chosen in a sample of one block and the least tid."""
+    drawn = F.pmod(F.xxhash64("tid", "label"), F.ceil(F.col("weight") * load_of("size"))) < BLOCK
+    sample = rows.where(drawn | (F.col("tid") == F.col("least"))).join(tokens, "tid").select("label", "tid", "tokens")
+    centres = common.stage(grouped(sample, ["label"], middle, "label binary, tid binary"), "middles")
+    weights = rows.groupBy("label").agg(F.first("weight").alias("weight"))
+    dealt = centres.join(weights, "label").join(tokens, "tid").withColumn("block", F.explode(F.sequence(F.lit(0), pieces("weight") - 1)))
+    own = rows.withColumn("block", F.pmod(F.xxhash64("tid"), pieces("weight")).cast("int")).join(tokens, "tid")
+    columns = ["label", "block", "middle", "tid", "tokens"]
+    both = own.withColumn("middle", F.lit(0)).select(columns).unionByName(dealt.withColumn("middle", F.lit(1)).select(columns))
+    found = grouped(both, ["label", "block"], bands, "tid binary, band int")
+    return common.stage(rows.select("label", "tid", "size").join(found, "tid"), "bands")
+
+
+def band_groups(rows: DataFrame) -> DataFrame:
+    """rows (label, band, size) -> (key, sure, partners, group, pieces) by key, a label and band: neighbouring bands are
+    one group of about a block. sure is the number of sets that all sets of the group are linked to, partners are the groups
+    with which they must be compared. A class has BANDS + 1 bands at most, so no window or join here grows with it."""
+    loads = rows.groupBy("label", "band").agg(F.sum(load_of("size")).alias("w"), F.count("*").alias("n"))
+    before = F.sum("w").over(Window.partitionBy("label").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    part = F.struct((2 * F.col("band") + 2 > REACH).alias("far"), F.floor(F.coalesce(before, F.lit(0.0)) / BLOCK).alias("at"))
+    loads = common.stage(loads.withColumn("part", part), "loads")
+    groups = loads.groupBy("label", "part").agg(F.min("band").alias("low"), F.max("band").alias("high"), F.sum("w").alias("weight"), F.sum("n").alias("n"))
+    groups = common.stage(groups.withColumn("pieces", pieces("weight")), "groups")
+    other = groups.select("label", *(F.col(c).alias(f"other_{c}") for c in ("low", "high", "n", "pieces")))
+    sure = F.col("high") + F.col("other_high") + 2 <= REACH
+    apart = F.greatest(F.col("other_low") - F.col("high"), F.col("low") - F.col("other_high")) - 1 >= REACH
+    mates = F.col("other_n") - (F.col("low") == F.col("other_low")).cast("long")
+    met = groups.join(other, "label").groupBy("label", "part", F.col("low").alias("group"), "pieces").agg(
+        F.coalesce(F.sum(F.when(sure, mates)), F.lit(0)).alias("sure"),
+        F.collect_list(F.when(~sure & ~apart, F.struct(F.col("other_low").alias("group"), F.col("other_pieces").alias("pieces")))).alias("partners"),
+    )
+    named = loads.select("label", "part", F.struct("label", "band").alias("key")).join(met, ["label", "part"])
+    return common.stage(named.select("key", "sure", "partners", "group", "pieces"), "band-groups")
+
+
+def link_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (label, tid) of classes of several texts -> (tid, n_links): with how many other texts of its class a text
+    has a similarity of at least 0.8, exactly."""
+    rows = members.join(sets.select("tid", "size"), "tid")
+    sums = rows.groupBy("label").agg(F.sum(load_of("size")).alias("weight"), F.count("*").alias("n"), F.min("tid").alias("least"))
+    rows = common.stage(common.join_hot(rows, common.stage(sums, "class-weights"), "label", "n"), "class-members")
+    tokens = sets.select("tid", "tokens")
+    few = rows.where(F.col("weight") <= BLOCK).join(tokens, "tid").select("label", F.lit(2).alias("side"), "tid", "tokens")
+    counted = grouped(few, ["label"], lambda g: count_links(g, 1), "tid binary, n_links long")
+
+    large = rows.where(F.col("weight") > BLOCK)
+    if not large.isEmpty():
+        placed = banded(large, tokens)
+        placed = common.join_params(placed.withColumn("key", F.struct("label", "band")), band_groups(placed), "key")
+        placed = placed.withColumn("piece", F.pmod(F.xxhash64("tid"), F.col("pieces")).cast("int"))
+        placed = common.stage(placed.select("label", "tid", "sure", "partners", "group", "piece"), "placed")
+        blocks = F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["pieces"] - 1), lambda q: F.struct(p["group"].alias("group"), q.alias("piece"))))
+        asked = placed.where(F.size("partners") > 0).join(tokens, "tid").select("label", F.struct("group", "piece").alias("own"), F.explode(F.flatten(blocks)).alias("other"), "tid", "tokens")
+        side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+        pair = [F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")]
+        asked = asked.select("label", *pair, side.alias("side"), "tid", "tokens").select("label", "a.group", "a.piece", F.col("b.group").alias("group_b"), F.col("b.piece").alias("piece_b"), "side", "tid", "tokens")
+        compared = grouped(asked, ["label", "group", "piece", "group_b", "piece_b"], lambda g: count_links(g, 5), "tid binary, n_links long")
+        counted = counted.unionByName(compared).unionByName(placed.select("tid", F.col("sure").alias("n_links")))
+    return common.stage(counted.groupBy("tid").agg(F.sum("n_links").alias("n_links")), "link-counts")
+
+
+def near_duplicates(docs: DataFrame, recall: float = RECALL, links: bool = False) -> DataFrame:
     """One row a row of docs: doc_id, class_id (the least doc_id of all that links of a similarity of at least 0.8 join),
     class_size and n_texts (documents and different texts of the class), text_id (of equal texts), label (a text_id
-    that all rows of a class and no others have; null without words).
+    that all rows of a class and no others have; null without words). With links, also n_links, the number of different
+    texts that the row's text is linked to; equal texts don't count.
 
     Texts without words, null ones too, link to nothing: they are their own class. Rows with equal or null doc_id
     stay apart; class_id is null only where no row of the class has a doc_id. Other columns of docs are left out."""
@@ -465,27 +572,32 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
     leaves = leaves_of(level, sets).withColumn("key", by_size(F.col("key"), F.col("n"))).select("key", "tid").distinct()
     leaves, large = without_lone_sets(leaves.join(sets.select("tid", "size"), "tid"), sets)
-    links = pivot_links(large, sets)
-    known = components(links)
+    to_pivots = pivot_links(large, sets)
+    known = components(to_pivots)
     lists = leaves.groupBy("tid").agg(F.collect_list("key").alias("leaves"))
     task = ["key", "block", "other"]
     asked = tasks_of(leaves.join(lists, "tid"), known).select(*task, "role", "rest", "tid", "size", "most", "label", "leaves")
     proposed = common.stage(grouped(asked, task, propose, "key long, block int, other int, role int, tid binary"), "proposed")
     compared = grouped(proposed.join(sets.select("tid", "tokens"), "tid").select(*task, "role", "tid", "tokens"), task, verify, "tid binary, root binary")
-    labels = components(common.stage(links.unionByName(compared), "links"))
+    labels = components(common.stage(to_pivots.unionByName(compared), "links"))
 
     named = common.stage(texts.join(labels, "tid", "left").select("tid", "rep", "copies", F.coalesce("label", "tid").alias("label")), "named")
     classes = common.stage(named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n_texts")), "classes")
     known = common.join_hot(named, classes, "label", "n_texts").select("tid", "class_id", "class_size", "n_texts", "label", "copies")
+    more = []
+    if links:
+        known = common.stage(known, "known")
+        counts = link_counts(known.where("n_texts > 1").select("label", "tid"), sets)
+        known, more = known.join(counts, "tid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))), ["n_links"]
     worded = common.join_hot(rows.where(F.size("keys") > 0).select("doc_id", "tid"), common.stage(known, "known"), "tid", "copies")
     wordless = rows.where(F.size("keys") == 0).select("doc_id", "tid", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(1).cast("long").alias("n_texts"), F.lit(None).cast("binary").alias("label"))
-    out = worded.drop("copies").unionByName(wordless)
-    return out.select("doc_id", "class_id", "class_size", "n_texts", F.col("tid").alias("text_id"), "label")
+    out = worded.drop("copies").unionByName(wordless.withColumns({c: F.lit(0).cast("long") for c in more}))
+    return out.select("doc_id", "class_id", "class_size", "n_texts", *more, F.col("tid").alias("text_id"), "label")
 
 
 def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classes of all documents: doc_id, class_id, class_size, n_texts."""
-    return near_duplicates(common.load(spark, sf_dir, "documents")).drop("text_id", "label")
+    """The classes of all documents and their numbers of links: doc_id, class_id, class_size, n_texts, n_links."""
+    return near_duplicates(common.load(spark, sf_dir, "documents"), links=True).drop("text_id", "label")
 
 
 SQL = rf"""
@@ -495,6 +607,7 @@ n AS (SELECT r, count(*) AS k FROM g GROUP BY r),
 met AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM g a JOIN g b ON a.t = b.t AND a.r <> b.r GROUP BY 1, 2),
 links AS (SELECT x, y FROM met JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 5 * met.k >= 4 * (a.k + b.k - met.k)),
 reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
-classes AS (SELECT reach.x AS r, min(d.doc_id) AS class_id, count(*) AS class_size, greatest(1, count(DISTINCT d.text)) AS n_texts FROM reach JOIN d ON d.r = reach.y GROUP BY 1)
-SELECT doc_id, class_id, class_size, n_texts FROM d JOIN classes USING (r)
+classes AS (SELECT reach.x AS r, min(d.doc_id) AS class_id, count(*) AS class_size, greatest(1, count(DISTINCT d.text)) AS n_texts FROM reach JOIN d ON d.r = reach.y GROUP BY 1),
+counts AS (SELECT x AS r, count(DISTINCT b.text) AS n_links FROM links JOIN d a ON a.r = x JOIN d b ON b.r = y WHERE a.text <> b.text GROUP BY 1)
+SELECT doc_id, class_id, class_size, n_texts, coalesce(n_links, 0) AS n_links FROM d JOIN classes USING (r) LEFT JOIN counts USING (r)
 """

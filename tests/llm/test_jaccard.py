@@ -7,7 +7,8 @@ from findery.llm import jaccard
 
 
 def brute(texts):
-    """class (least index of the component), its size and its number of different texts, for each text."""
+    """class (least index of the component), its size, its number of different texts and the number of other texts that
+    a text is linked to, for each text."""
     sets = []
     for t in texts:
         w = jaccard.WORDS.findall(t or "")
@@ -17,7 +18,8 @@ def brute(texts):
     label = list(range(n))
     for _ in range(n):
         label = [min([label[i], *(label[j] for j in links[i])]) for i in range(n)]
-    return [(k, label.count(k), max(1, len({t for t, m in zip(texts, label, strict=True) if m == k and t is not None}))) for k in label]
+    degree = [len({texts[j] for j in links[i]} - {texts[i]}) for i in range(n)]
+    return [(k, label.count(k), max(1, len({t for t, m in zip(texts, label, strict=True) if m == k and t is not None})), d) for k, d in zip(label, degree, strict=True)]
 
 
 def copies(words, seed, n, edits):
@@ -52,7 +54,7 @@ def test_runs_reach_the_recall(words):
 
 
 def classes_of(rows):
-    return {r.doc_id: (r.class_id, r.class_size, r.n_texts) for r in rows.collect()}
+    return {r.doc_id: (r.class_id, r.class_size, r.n_texts, r.n_links) for r in rows.collect()}
 
 
 @pytest.mark.parametrize(("small", "block"), [(64, 512), (3, 4), (8, 16)])
@@ -64,7 +66,7 @@ def test_against_brute_force(docs_of, words, monkeypatch, small, block):
     for seed in range(6):
         texts += copies(words, seed + 100, 7, 2) + copies(words, seed + 200, 3, 4)
     texts += copies(words, 999, 40, 1) + [texts[0]] * 5 + ["one two", "one two", "one", "one  two", "", "", "   "] + [None, None]
-    assert classes_of(jaccard.near_duplicates(docs_of(list(enumerate(texts))))) == dict(enumerate(brute(texts)))
+    assert classes_of(jaccard.near_duplicates(docs_of(list(enumerate(texts))), links=True)) == dict(enumerate(brute(texts)))
 
 
 def spread_copies(words, seed, n, most):
@@ -85,8 +87,8 @@ def test_large_leaves_lose_no_class(docs_of, words, monkeypatch, block, pivots):
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     texts = spread_copies(words, 1, 220, 12) + spread_copies(words, 2, 90, 5) + [f"{words(60, 1)} {words(50, i)}" for i in range(60)]
     want = brute(texts)
-    assert 40 < len(set(want)) < 300 and max(k[1] for k in want) > 50
-    assert classes_of(jaccard.near_duplicates(docs_of(list(enumerate(texts))))) == dict(enumerate(want))
+    assert 40 < len({k[0] for k in want}) < 300 and max(k[1] for k in want) > 50
+    assert classes_of(jaccard.near_duplicates(docs_of(list(enumerate(texts))), links=True)) == dict(enumerate(want))
 
 
 def test_work_of_a_large_group_grows_with_its_sets(spark, docs_of, words, monkeypatch):
@@ -112,7 +114,7 @@ def test_very_long_texts_are_dealt_by_tokens(docs_of, words, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 32)
     base = words(3000, "long").split()
     texts = [" ".join([*base[:-1], f"end{k}"]) for k in range(12)] + [words(60, k) for k in range(10)]
-    assert classes_of(jaccard.near_duplicates(docs_of(list(enumerate(texts))))) == dict(enumerate(brute(texts)))
+    assert classes_of(jaccard.near_duplicates(docs_of(list(enumerate(texts))), links=True)) == dict(enumerate(brute(texts)))
 
 
 def test_counts_and_stars():
@@ -125,6 +127,25 @@ def test_counts_and_stars():
     assert sorted(jaccard.stars([b"d", b"b", b"c", b"a", b"e"], links)) == [(b"a", b"a"), (b"d", b"a"), (b"e", b"a")]
 
 
+def test_bands_spare_comparisons(spark, words, monkeypatch):
+    """A large class near its middle set is counted without comparing its sets; counts of others equal all comparisons."""
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    made = jaccard.Shingles()
+    texts = [*copies(words, 5, 200, 1), *spread_copies(words, 6, 150, 12)]
+    sets = [made.of(t) for t in texts]
+    tids = [bytes([i // 256, i % 256]) * 8 for i in range(len(texts))]
+    label = [b"near"] * 200 + [b"wide"] * 151
+    rows = spark.createDataFrame([(bytearray(t), bytearray(s.tobytes()), len(s)) for t, s in zip(tids, sets, strict=True)], "tid binary, tokens binary, size int")
+    members = spark.createDataFrame([(bytearray(k), bytearray(t)) for k, t in zip(label, tids, strict=True)], "label binary, tid binary")
+    got = {bytes(r.tid): r.n_links for r in jaccard.link_counts(members, rows).collect()}
+    links = jaccard.linked(sets, sets) & (np.array(label)[:, None] == np.array(label)[None, :])
+    assert [got[t] for t in tids] == (links.sum(1) - 1).tolist() and len(set(got.values())) > 5
+
+    placed = jaccard.banded(members.join(rows.select("tid", "size"), "tid").selectExpr("*", "200.0D weight", "first(tid) OVER (PARTITION BY label ORDER BY tid) least"), rows.select("tid", "tokens"))
+    groups = jaccard.band_groups(placed).where("key.label = CAST('near' AS BINARY)").collect()
+    assert sum(r.sure for r in groups) > 0
+
+
 def test_lone_tokens(spark):
     sets = [("a" * 16, [1, 2, 3]), ("b" * 16, [3, 4]), ("c" * 16, [4, 3])]
     rows = [(bytearray(t.encode()), *np.frombuffer(t.encode(), np.int64).tolist(), bytearray(np.array(k, np.int64).tobytes())) for t, k in sets]
