@@ -22,7 +22,8 @@ from which classes are formed by label propagation. Blocks are cut by sets and t
 Links of a text are counted exactly inside its class, since a link never leaves one. One minus the similarity is a
 metric: two sets whose distances from a third add up to a fifth at most are linked, two whose distances differ by
 more aren't. So the sets of a large class are put in bands by the distance from a middle one; of most bands this tells
-whether all their pairs are links or none, and only the other bands are compared, in blocks."""
+whether all their pairs are links or none, and only the other bands are compared, in blocks. There a set goes as its
+difference from the middle one, which is short for near copies and tells intersections as well as the set does."""
 
 from __future__ import annotations
 
@@ -440,23 +441,31 @@ def middle(group: list[tuple]) -> list[tuple]:
 
 
 def bands(group: list[tuple]) -> list[tuple]:
-    """(label, block, middle, tid, tokens) of one block and the middle set of its class -> (tid, band of the distance)."""
+    """(label, block, middle, tid, tokens) of one block and the middle set of its class -> (tid, band of the distance,
+    tokens that only one of the set and the middle one has)."""
     centre = [np.frombuffer(g[4], np.uint64) for g in group if g[2]]
-    rows = [g for g in group if not g[2]]
-    if not rows:
-        return []
-    both, union = similarity([np.frombuffer(g[4], np.uint64) for g in rows], centre)
-    return [(g[3], b) for g, b in zip(rows, (BANDS * (union - both) // union)[:, 0].tolist(), strict=True)]
+    rows = [(g[3], np.frombuffer(g[4], np.uint64)) for g in group if not g[2]]
+    out = []
+    for tid, tokens in rows:
+        apart = np.setxor1d(tokens, centre[0], assume_unique=True)
+        union = (len(tokens) + len(centre[0]) + len(apart)) // 2
+        out.append((tid, BANDS * len(apart) // union, apart.tobytes()))
+    return out
 
 
 def count_links(group: list[tuple], at: int) -> list[tuple]:
-    """Rows of one task, with side, tid and tokens from column at on -> (tid, number of its links in the task). Side 2 is
-    both sides: all pairs of the rows; else those of rows of side 0 and 1."""
+    """Rows of one task, with side, tid, size and apart from column at on -> (tid, number of its links in the task). apart
+    is what the set and one that all rows of the task have in common don't share (that may be the empty set, then
+    apart is the set). Side 2 is both sides: all pairs of the rows; else those of rows of side 0 and 1."""
     left, right = sides(group, at)
     if not left or not right:
         return []
-    sets = [np.frombuffer(g[at + 2], np.uint64) for g in group]
-    links = linked([sets[i] for i in left], [sets[i] for i in right])
+    apart = [np.frombuffer(g[at + 3], np.uint64) for g in group]
+    size, differ = np.array([g[at + 2] for g in group], np.int64), np.array([len(a) for a in apart], np.int64)
+    shared = np.rint(shared_counts([apart[i] for i in left], [apart[i] for i in right])).astype(np.int64)
+    whole = size[left][:, None] + size[right][None, :]
+    both = (whole - differ[left][:, None] - differ[right][None, :]) // 2 + shared
+    links = SIMILAR[1] * both >= SIMILAR[0] * (whole - both)
     if left == right:
         np.fill_diagonal(links, False)
         return [(g[at + 1], n) for g, n in zip(group, links.sum(1).tolist(), strict=True) if n]
@@ -465,8 +474,8 @@ def count_links(group: list[tuple], at: int) -> list[tuple]:
 
 
 def banded(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Sets of large classes (label, tid, size, weight, least) -> (label, tid, size, band) by the distance from a middle
-    set of the class, which is chosen in a sample of one block and the least tid."""
+    """Sets of large classes (label, tid, size, weight, least) -> (label, tid, size, band, apart) by the distance and the
+    difference from a middle set of the class, which is chosen in a sample of one block and the least tid."""
     drawn = F.pmod(F.xxhash64("tid", "label"), F.ceil(F.col("weight") * load_of("size"))) < BLOCK
     sample = rows.where(drawn | (F.col("tid") == F.col("least"))).join(tokens, "tid").select("label", "tid", "tokens")
     centres = common.stage(grouped(sample, ["label"], middle, "label binary, tid binary"), "middles")
@@ -475,7 +484,7 @@ def banded(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     own = rows.withColumn("block", F.pmod(F.xxhash64("tid"), pieces("weight")).cast("int")).join(tokens, "tid")
     columns = ["label", "block", "middle", "tid", "tokens"]
     both = own.withColumn("middle", F.lit(0)).select(columns).unionByName(dealt.withColumn("middle", F.lit(1)).select(columns))
-    found = grouped(both, ["label", "block"], bands, "tid binary, band int")
+    found = grouped(both, ["label", "block"], bands, "tid binary, band int, apart binary")
     return common.stage(rows.select("label", "tid", "size").join(found, "tid"), "bands")
 
 
@@ -508,7 +517,7 @@ def link_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
     sums = rows.groupBy("label").agg(F.sum(load_of("size")).alias("weight"), F.count("*").alias("n"), F.min("tid").alias("least"))
     rows = common.stage(common.join_hot(rows, common.stage(sums, "class-weights"), "label", "n"), "class-members")
     tokens = sets.select("tid", "tokens")
-    few = rows.where(F.col("weight") <= BLOCK).join(tokens, "tid").select("label", F.lit(2).alias("side"), "tid", "tokens")
+    few = rows.where(F.col("weight") <= BLOCK).join(tokens, "tid").select("label", F.lit(2).alias("side"), "tid", "size", F.col("tokens").alias("apart"))
     counted = grouped(few, ["label"], lambda g: count_links(g, 1), "tid binary, n_links long")
 
     large = rows.where(F.col("weight") > BLOCK)
@@ -516,12 +525,12 @@ def link_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
         placed = banded(large, tokens)
         placed = common.join_params(placed.withColumn("key", F.struct("label", "band")), band_groups(placed), "key")
         placed = placed.withColumn("piece", F.pmod(F.xxhash64("tid"), F.col("pieces")).cast("int"))
-        placed = common.stage(placed.select("label", "tid", "sure", "partners", "group", "piece"), "placed")
+        placed = common.stage(placed.select("label", "tid", "size", "apart", "sure", "partners", "group", "piece"), "placed")
         blocks = F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["pieces"] - 1), lambda q: F.struct(p["group"].alias("group"), q.alias("piece"))))
-        asked = placed.where(F.size("partners") > 0).join(tokens, "tid").select("label", F.struct("group", "piece").alias("own"), F.explode(F.flatten(blocks)).alias("other"), "tid", "tokens")
+        asked = placed.where(F.size("partners") > 0).select("label", F.struct("group", "piece").alias("own"), F.explode(F.flatten(blocks)).alias("other"), "tid", "size", "apart")
         side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
         pair = [F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")]
-        asked = asked.select("label", *pair, side.alias("side"), "tid", "tokens").select("label", "a.group", "a.piece", F.col("b.group").alias("group_b"), F.col("b.piece").alias("piece_b"), "side", "tid", "tokens")
+        asked = asked.select("label", *pair, side.alias("side"), "tid", "size", "apart").select("label", "a.group", "a.piece", F.col("b.group").alias("group_b"), F.col("b.piece").alias("piece_b"), "side", "tid", "size", "apart")
         compared = grouped(asked, ["label", "group", "piece", "group_b", "piece_b"], lambda g: count_links(g, 5), "tid binary, n_links long")
         counted = counted.unionByName(compared).unionByName(placed.select("tid", F.col("sure").alias("n_links")))
     return common.stage(counted.groupBy("tid").agg(F.sum("n_links").alias("n_links")), "link-counts")
