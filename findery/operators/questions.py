@@ -31,6 +31,11 @@ character, that supports its answer best.
 
 Reply with JSON only: {{"questions": [{{"query": "...", "type": "factual|conceptual|keyword", "evidence": "..."}}]}}"""
 
+#: What a reply looks like, as a JSON schema for models that can be held to one.
+FIELDS = {"query": {"type": "string"}, "type": {"enum": ["factual", "conceptual", "keyword"]}, "evidence": {"type": "string"}}
+QUESTION = {"type": "object", "properties": FIELDS, "required": list(FIELDS)}
+REPLY = {"type": "object", "properties": {"questions": {"type": "array", "items": QUESTION, "maxItems": 5}}, "required": ["questions"]}
+
 
 def section_key() -> Column:
     return F.concat_ws("|", F.col("source"), F.col("page").cast("string"), F.array_join("path", " > "))

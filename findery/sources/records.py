@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import json
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +74,11 @@ def exploded(results: DataFrame) -> DataFrame:
     return rows.select("retriever", "query", "type", "group", (F.col("k") + 1).alias("rank"), F.col("h.scores").alias("score"), F.col("h.e").alias("hit_evidence"), F.col("h.s").alias("hit_section"))
 
 
+def code_version(*modules: ModuleType) -> str:
+    """A hash of the modules' source texts, in their order: another one as soon as their code changes."""
+    return hashlib.sha256("\0".join(inspect.getsource(m) for m in modules).encode()).hexdigest()[:16]
+
+
 def cached_sections(spark: SparkSession, path: str, cache: str, make, version: str) -> DataFrame:
     """Sections of a file as a table under cache, made anew when the file's time or length or version differ."""
     fs, where = _fs(spark, path)
