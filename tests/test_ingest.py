@@ -99,6 +99,65 @@ def test_page_is_that_of_the_first_text(spark):
     assert paths(spark, "# A\n\n", "\nbody") == [(["A"], "body", 2)]
 
 
+def plain_paths(found):
+    """The paths of (hashes, depth, title), one heading after the other, by a stack."""
+    numbers = {}
+    for hashes, depth, _ in found:
+        if depth:
+            numbers.setdefault(depth, []).append(hashes)
+    usual = {d: max(dict.fromkeys(got), key=got.count) for d, got in numbers.items()}
+    shift, deepest = (usual[min(usual)] - min(usual), max(usual)) if usual else (0, 0)
+    out, stack = [], []
+    for hashes, depth, title in found:
+        level = depth or max(1, hashes - shift)
+        if not depth and level >= deepest:
+            level = max(level, 1 + max((n for n, _, numbered in stack if numbered), default=0))
+        stack = [s for s in stack if s[0] < level] + [(level, title, bool(depth))]
+        out.append([t for _, t, _ in stack])
+    return out
+
+
+def heading_rows(spark, docs):
+    rows = [(doc, k, 1, k, hashes, depth, title) for doc, found in docs.items() for k, (hashes, depth, title) in enumerate(found, 1)]
+    return spark.createDataFrame(rows, "doc string, section_no int, page int, line_no int, hashes int, depth int, title string")
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (1, 2), (3, 2), (4, 5), (256, 256)])
+def test_scanned_paths_equal_a_stack(spark, sizes):
+    import random
+
+    rng = random.Random(sum(sizes))
+    docs = {f"d{n}": [(rng.randint(1, 6), rng.choice([None, None, 1, 2, 3][: rng.choice([1, 4, 5])]), f"t{k}") for k in range(rng.randint(1, 70))] for n in range(40)}
+    got = {(r.doc, r.section_no): r.path for r in sections.heading_paths(heading_rows(spark, docs), *sizes).collect()}
+    assert got == {(doc, k): path for doc, found in docs.items() for k, path in enumerate(plain_paths(found), 1)}
+
+
+def test_paths_of_one_long_document_take_many_tasks(spark):
+    n = 60_000
+    depth = F.when(F.col("id") % 7 < 4, (F.col("id") % 3 + 1).cast("int"))
+    rows = spark.range(1, n + 1, 1, 4).select(F.lit("d").alias("doc"), F.col("id").cast("int").alias("section_no"), F.lit(1).alias("page"), F.col("id").cast("int").alias("line_no"), (F.col("id") % 5 % 6 + 1).cast("int").alias("hashes"), depth.alias("depth"), F.concat(F.lit("t"), "id").alias("title"))
+    # As larger tables would be planned: nothing is small enough to be broadcast or put into one task.
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    kept = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        per_task = sections.heading_paths(rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert sum(r["count"] for r in per_task) == n and len(per_task) > 1 and max(r["count"] for r in per_task) < n / 2
+    found = [tuple(r) for r in rows.orderBy("section_no").select("hashes", "depth", "title").collect()]
+    assert [r.path for r in sections.heading_paths(rows).orderBy("section_no").collect()] == plain_paths(found)
+
+
+def test_sections_over_ranges_of_pages(spark):
+    text = "".join(f"{'#' * (k % 4 + 1)} h{k}\nx{k}\n\n" for k in range(30))
+    book = spark.createDataFrame([("d", "d.md", p, f"tail {p}\n" + text) for p in range(9)], schemas.PAGES)
+    want, got = ([tuple(r) for r in sections.split_sections(book, *sizes).orderBy("section_no").collect()] for sizes in ((256, 256), (2, 3)))
+    assert got == want and len(got) == 271 and got[30][4] == "x29\n\ntail 1"
+
+
 def packed(spark, text, path=(), **options):
     rows = spark.createDataFrame([("s.md", list(path), text, 4)], "source string, path array<string>, text string, page int")
     return chunk.chunk_sections(rows, **options).orderBy("metadata.part").collect()
