@@ -11,11 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import bounded, stage
 
 SIGNALS = ("top1", "margin", "spread")
 LEVELS = ((0.8, "high"), (0.5, "medium"), (0.0, "low"))
 BINS = 10
+RUN = 65_536  # values of x that one task pools at first
+FANOUT = 128  # steps of a node of a search tree
+NODES = 10_000  # nodes of a level that may be broadcast
 
 
 def signals(scores: Column) -> Column:
@@ -77,30 +80,58 @@ def pool(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     return pd.DataFrame([{**first, "x_from": v, "successes": s, "n": n, "p": (s + 1) / (n + 2)} for v, s, n in edges])
 
 
-def isotonic(rows: DataFrame, by: list[str], x: str = "x", y: str = "y", monotone: bool = False) -> DataFrame:
+def in_runs(rows: DataFrame, by: list[str], run: int) -> DataFrame:
+    """rows (by, x, ...) with __part and __run: runs of at most so many rows of a key whose x follow each other. Rows are
+    put in ranges of keys and x first, and each range of a key is numbered by itself."""
+    order = F.col("x").asc_nulls_last()
+    parts = rows.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id())
+    return parts.withColumn("__run", F.floor((F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order)) - 1) / run))
+
+
+def isotonic(rows: DataFrame, by: list[str], x: str = "x", y: str = "y", monotone: bool = False, run: int = RUN) -> DataFrame:
     """by, x_from, successes, n, p: steps with a rising rate of success, smoothed by one success and one failure.
 
-    Smoothing may turn two steps around; monotone takes the running maximum. Rows are counted by value of x before
-    a task gets those of one key."""
+    Smoothing may turn two steps around; monotone takes the running maximum. Rows are counted by value of x first. Then
+    each run of at most `run` values of a key is pooled by itself, and a key's steps come from those of its runs: a corner of
+    the line below all points is one of the line below its run, so a task never gets all values of a key."""
     counts = rows.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("long").alias("s")).groupBy(*by, "x").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
-    kinds = "".join(f"{c} {counts.schema[c].dataType.simpleString()}, " for c in by)
-    steps = counts.groupBy(*by).applyInPandas(lambda pdf: pool(pdf, by), f"{kinds}x_from double, successes long, n long, p double")
+    kinds = "".join(f"{c} {counts.schema[c].dataType.simpleString()}, " for c in by) + "x_from double, successes long, n long, p double"
+    runs = in_runs(counts, by, run).groupBy(*by, "__part", "__run").applyInPandas(lambda pdf: pool(pdf, by), kinds)
+    steps = runs.select(*by, F.col("x_from").alias("x"), F.col("successes").alias("s"), "n").groupBy(*by).applyInPandas(lambda pdf: pool(pdf, by), kinds)
     if not monotone:
         return steps
     return steps.withColumn("p", F.max("p").over(Window.partitionBy(*by).orderBy("x_from").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def lookup(rows: DataFrame, steps: DataFrame, by: list[str], x: str = "x") -> DataFrame:
-    """rows with p of the last step that begins at or before x, of the first step below all. As-of join: the few
-    steps of a key are one array, searched by expression."""
-    keys = by or ["__all"]  # without keys there is one array
+def search_tree(steps: DataFrame, by: list[str], fanout: int = FANOUT) -> list[DataFrame]:
+    """Steps (by, x_from, p) as levels of nodes, the root first: by, __lo, __steps, an array of at most `fanout` (x_from, p)
+    in order, where __lo is the first x_from. Entries above the leaves are the __lo of nodes below. Each level is written."""
+    levels: list[DataFrame] = []
+    entries = steps.groupBy(*by, F.col("x_from").alias("x")).agg(F.max("p").alias("p"))
+    while True:
+        nodes = in_runs(entries, by, fanout).groupBy(*by, "__part", "__run").agg(F.array_sort(F.collect_list(F.struct(F.col("x").alias("x_from"), "p"))).alias("__steps"))
+        levels.insert(0, stage(nodes.select(*by, F.get("__steps", F.lit(0))["x_from"].alias("__lo"), "__steps"), "steps"))
+        if (levels[0].groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= 1:
+            return levels
+        entries = levels[0].select(*by, F.col("__lo").alias("x"), F.lit(None).cast("double").alias("p"))
+
+
+def lookup(rows: DataFrame, steps: DataFrame, by: list[str], x: str = "x", fanout: int = FANOUT) -> DataFrame:
+    """rows with p of the last step that begins at or before x, of the first step if x is below all or null; null for a key
+    without steps. Of steps that begin at one x the greatest p counts.
+
+    As-of join down a search tree: a join a level, by key and node, after which at most `fanout` entries are compared. Few
+    steps are one level. A level is broadcast after a count, else rows of a node much looked up are for AQE to split."""
+    keys = by or ["__all"]  # without keys there is one tree
     if not by:
         rows, steps = rows.withColumn("__all", F.lit(0)), steps.withColumn("__all", F.lit(0))
-    listed = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x_from", "p"))).alias("__steps"))
-    joined = rows.join(settled(listed, "steps"), keys, "left").drop("__all")
-    passed = F.filter("__steps", lambda s: s["x_from"] <= F.col(x))
-    step = F.when(F.size(passed) > 0, F.element_at(passed, -1)).otherwise(F.get("__steps", F.lit(0)))
-    return joined.withColumn("p", step["p"]).drop("__steps")
+    for depth, nodes in enumerate(search_tree(steps, keys, fanout)):
+        on = [*keys, "__lo"] if depth else keys
+        rows = rows.join(bounded(nodes if depth else nodes.drop("__lo"), NODES), on, "left").drop("__lo")
+        passed = F.filter("__steps", lambda s: s["x_from"] <= F.col(x))
+        step = F.when(F.size(passed) > 0, F.element_at(passed, -1)).otherwise(F.get("__steps", F.lit(0)))
+        rows = rows.withColumn("__step", step).drop("__steps").withColumns({"__lo": F.col("__step.x_from"), "p": F.col("__step.p")}).drop("__step")
+    return rows.drop("__lo", *([] if by else ["__all"]))
 
 
 def level(p: Column) -> Column:

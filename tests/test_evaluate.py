@@ -147,6 +147,42 @@ def test_isotonic(spark):
     assert [r.p for r in ones.orderBy("x_from").collect()] == pytest.approx([10 / 12, 10 / 12])
 
 
+def test_steps_of_runs_equal_those_of_all(spark):
+    rng = random.Random(5)
+    rows = [(k, float(rng.randrange(300)), rng.random() < rng.choice([0.2, 0.5, 0.9])) for k in ("a", "b") for _ in range(900)]
+    rows += [("a", float(v), v % 3 > 0) for v in range(300)] + [("one", 1.0, True), ("a", None, True)]
+    df = spark.createDataFrame(rows, "k string, x double, y boolean").repartition(4)
+    whole = calibrate.isotonic(df, ["k"]).toPandas()
+    for run in (1, 7, 64):
+        found = calibrate.isotonic(df, ["k"], run=run).toPandas()
+        assert sorted(map(repr, found.itertuples(index=False))) == sorted(map(repr, whole.itertuples(index=False)))
+    plain = calibrate.pool(df.where("k = 'b'").groupBy("k", "x").agg(F.sum(F.col("y").cast("long")).alias("s"), F.count("*").alias("n")).toPandas(), ["k"])
+    got = whole[whole.k == "b"].sort_values("x_from")
+    assert got.x_from.tolist() == plain.x_from.tolist() and got.successes.tolist() == plain.successes.tolist()
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 128])
+def test_lookup_down_a_tree(spark, fanout):
+    import bisect
+
+    rng = random.Random(fanout)
+    steps = {k: sorted({float(rng.randrange(100)) for _ in range(n)}) for k, n in (("a", 40), ("b", 1), ("c", 9))}
+    table = spark.createDataFrame([(k, v, v / 200) for k, at in steps.items() for v in at], "k string, x_from double, p double")
+    probes = [(i, k, x) for i, (k, x) in enumerate((k, x) for k in "abcd" for x in [-1.0, None, float("inf"), *[rng.uniform(-5, 110) for _ in range(20)], *steps.get(k, [])[:5]])]
+    got = {r.i: r.p for r in calibrate.lookup(spark.createDataFrame(probes, "i int, k string, x double"), table, ["k"], fanout=fanout).collect()}
+    want = {i: None if k not in steps else steps[k][max(0, bisect.bisect_right(steps[k], -9.0 if x is None else x) - 1)] / 200 for i, k, x in probes}
+    assert got == want
+    none = calibrate.lookup(spark.createDataFrame(probes, "i int, k string, x double"), table.where("false"), ["k"], fanout=fanout)
+    assert none.where("p IS NULL").count() == len(probes)
+
+
+def test_lookup_among_a_million_steps(spark):
+    steps = spark.range(1_000_000).select(F.col("id").cast("double").alias("x_from"), (F.col("id") / 2_000_000).alias("p"))
+    rows = spark.range(20_000).select("id", (F.col("id") * 50 + 0.5).alias("x"))
+    out = calibrate.lookup(rows, steps, [])
+    assert out.columns == ["id", "x", "p"] and out.where("p = id * 50 / 2000000").count() == 20_000
+
+
 def test_signals(spark):
     rows = spark.createDataFrame([([1.0, 4.0, 2.5],), ([2.0],), ([],)], "s array<double>").select(calibrate.signals(F.col("s")).alias("g")).collect()
     assert [tuple(r.g) for r in rows] == [(4.0, 1.5, 1.5), (2.0, 2.0, 0.0), (0.0, 0.0, 0.0)]
