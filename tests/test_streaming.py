@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from findery.functions.vectors import HashEmbedder
 from findery.operators import retrieve
+from findery.plans.ingest import ingest_pages
 from findery.sources.store import VectorStore
 from findery.streaming import ingest
 
@@ -72,3 +73,24 @@ def test_errors_of_telling_progress_do_not_reach_the_jobs(spark):
     with watch(spark, fails, every=60):  # so that only the last look tells
         assert spark.range(10).repartition(3).count() == 10
     assert len(told) == 1
+
+
+def test_a_file_goes_through_in_parts(spark, tmp_path):
+    """Rows stay small however long a file is, across the splits that Spark reads it in too, and chunks are those of the
+    whole text."""
+    (tmp_path / "files").mkdir()
+    blocks = [f"# Part {k}" if k % 40 == 7 else "   # no heading" if k % 40 == 9 else words(700, f"l{k}x") if k % 40 == 11 else f"{words(20 + k % 70, f'w{k}x')}-\nend\n \n\n12" for k in range(300)]
+    text = "\n" + "\n\n".join(blocks)
+    (tmp_path / "files" / "a.md").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        store = VectorStore(spark, f"{tmp_path}/store", HashEmbedder(), buckets=4)
+        ingest.sync_files(spark, str(tmp_path / "files"), store, f"{tmp_path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    parts = [len(r.text) for r in spark.read.parquet(f"{tmp_path}/checkpoint/parts").collect()]
+    assert len(parts) > 5 and max(parts) < len(text) / 5
+    whole = ingest_pages(spark.createDataFrame([("a", "a.md", 1, text)], "doc string, source string, page int, text string"))
+    form = lambda df: sorted(map(tuple, df.collect()))
+    assert form(store.read().select("id", "text", "section", "part")) == form(whole.select("id", "text", "metadata.section", "metadata.part"))
