@@ -90,3 +90,15 @@ def test_store_keeps_its_cells(spark, tmp_path):
     assert sorted(map(tuple, store.query(asked, scope=["s1"], probes=1.0).collect())) == sorted(map(tuple, some.collect()))
     assert store.remove_source("s1") == 10 and store.read().where("cell is null").count() == 0
     assert {r.source for r in store.query(asked, 90, probes=1.0).join(store.read().select("id", "source"), "id").collect()} == {f"s{i}" for i in range(9) if i != 1}
+
+
+def test_small_products_give_the_same_hits(spark, monkeypatch):
+    """Products of matrices have a bounded size, whatever the number of cells, queries and vectors is."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, f"s{i % 3}", rng.normal(size=6).tolist()) for i in range(200)], "id long, source string, embedding array<double>")
+    queries = rows.where("id % 4 = 0").select(F.col("id").alias("query_id"), F.when(F.col("id") % 8 == 0, F.col("source")).alias("source"), "embedding")
+    centres = cells.learn(rows, 5)
+    hits = lambda: sorted(map(tuple, cells.search(queries, cells.with_cells(rows, centres), centres, 3, 0.6).collect()))
+    whole = hits()
+    monkeypatch.setattr(cells, "PRODUCT", 9)
+    assert hits() == whole
