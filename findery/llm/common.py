@@ -64,6 +64,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """stage in buckets of a key, as many as a shuffle has partitions: joins on the key shuffle their other side only. df
+    is dealt out by the key already, as an aggregate by it is; else each task writes a file a bucket."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/findery/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(name)
+    atexit.register(_remove_late, spark, path)
+    found = spark.read.table(name)
+    spark.sql(f"DROP TABLE {name}")  # found has its files and buckets, the name isn't needed
+    return found
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has been counted and has no more than so many rows, else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

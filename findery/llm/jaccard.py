@@ -17,7 +17,8 @@ compared exactly. A large leaf costs about as much as it has sets:
 
 Equal texts are one set. A pair that meets in several leaves is compared in that of the least key only, the largest
 leaf, which both sets' lists of leaves tell. Tasks give, for each linked set, an edge to the least one of its part,
-from which classes are formed by label propagation. Blocks are cut by sets and tokens, so very long texts fit.
+from which classes are formed by label propagation. Blocks are cut by sets and tokens, so very long texts fit. Sets are
+written once, in buckets by their text: steps that need some of them shuffle the names of these, not all sets.
 
 Links of a text are counted exactly inside its class, since a link never leaves one. One minus the similarity is a
 metric: two sets whose distances from a third add up to a fifth at most are linked, two whose distances differ by
@@ -577,7 +578,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, links: bool = False
     met = texts.select("tid", "rep").join(level.select("tid").distinct(), "tid", "left_semi")
     one = source.alias("s").join(common.small(met).alias("m"), (F.col("s.tid") == F.col("m.tid")) & F.col("s.doc_id").eqNullSafe(F.col("m.rep"))).select("s.tid", "s.text")
     made = common.map_columns(one, ["text", "tid"], make_sets, "tokens binary, size int, high long, low long")
-    sets = common.stage(made.select("tid", "tokens", "size", "high", "low").dropDuplicates(["tid"]), "sets")
+    sets = common.stage_by(made.select("tid", "tokens", "size", "high", "low").dropDuplicates(["tid"]), "sets", "tid")
 
     leaves = leaves_of(level, sets).withColumn("key", by_size(F.col("key"), F.col("n"))).select("key", "tid").distinct()
     leaves, large = without_lone_sets(leaves.join(sets.select("tid", "size"), "tid"), sets)

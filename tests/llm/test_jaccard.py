@@ -153,6 +153,26 @@ def test_lone_tokens(spark):
     assert [(r.high, r.single) for r in got] == [(rows[0][1], 2)]
 
 
+def test_sets_are_not_shuffled_to_join_them(spark, docs_of, words, monkeypatch):
+    """A step that needs some of the sets, or all, shuffles their names only."""
+    known, plans = jaccard.link_counts, []
+
+    def kept(members, sets):
+        plans.append(members.select("tid").distinct().join(sets, "tid")._jdf.queryExecution().executedPlan().toString())
+        return known(members, sets)
+
+    monkeypatch.setattr(jaccard, "link_counts", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = copies(words, 1, 8, 1)
+        assert classes_of(jaccard.near_duplicates(docs_of(list(enumerate(texts))), links=True)) == dict(enumerate(brute(texts)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and plans[0].count("Exchange hashpartitioning") == 1
+    assert not spark.sql("SHOW TABLES").where("tableName LIKE 'sets%'").count()
+
+
 def test_null_and_repeated_ids(docs_of, words):
     a, b = words(60, 1), words(60, 2)
     rows = jaccard.near_duplicates(docs_of([(None, a), (5, a), (5, a), (None, b), (7, None), (8, "")])).collect()
