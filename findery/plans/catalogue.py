@@ -459,10 +459,10 @@ def metrics_by_type(spark, sf_dir):
     return values(spark, sf_dir).groupBy("type", "metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-def _boot(source: str, unit: str, value: str = "value") -> str:
+def _boot(source: str, unit: str, value: str = "value", repeats: int = REPEATS) -> str:
     return f"""t AS (SELECT metric, {unit} AS unit, sum({value}) AS s, count(*) AS c FROM {source} GROUP BY ALL),
 g AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY unit) - 1 AS g, count(*) OVER (PARTITION BY metric) AS n FROM t),
-dr AS (SELECT metric, r AS replicate, ('0x' || substr(md5('0|' || r || '|' || g), 1, 8))::BIGINT % n AS g FROM g, range({REPEATS}) x(r)),
+dr AS (SELECT metric, r AS replicate, ('0x' || substr(md5('0|' || r || '|' || g), 1, 8))::BIGINT % n AS g FROM g, range({repeats}) x(r)),
 bo AS (SELECT metric, replicate, sum(s) / sum(c) AS mean FROM dr JOIN g USING (metric, g) GROUP BY ALL)"""
 
 
@@ -473,9 +473,9 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in names})
 
 
-@query("bootstrap_ci", f"WITH {_VALUES}, {_boot('v', 'query_id::VARCHAR')} {_CI}")
+@query("bootstrap_ci", f"WITH {_VALUES}, {_boot('v', 'query_id::VARCHAR', repeats=metrics.REPEATS)} {_CI}")
 def bootstrap_ci(spark, sf_dir):
-    return _rounded(metrics.summarize(values(spark, sf_dir), ["metric"], None, REPEATS), "mean", "lo", "hi")
+    return _rounded(metrics.summarize(values(spark, sf_dir), ["metric"], None), "mean", "lo", "hi")
 
 
 @query("cluster_bootstrap", f'WITH {_VALUES}, {_boot("v", chr(34) + "group" + chr(34))} {_CI}')
