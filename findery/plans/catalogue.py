@@ -488,13 +488,13 @@ _OTHER = _VALUES.replace(_BM25 % "true", f"{_OVERLAP % 'true'}, h AS (SELECT * F
 
 @query(
     "paired_bootstrap",
-    f"""WITH a AS (WITH {_VALUES} SELECT * FROM v), o AS (WITH {_OTHER} SELECT * FROM v), pd AS (SELECT a.metric, a."group" AS gr, a.value - o.value AS d FROM a JOIN o USING (query_id, metric)), {_boot('pd', 'gr', 'd')}
+    f"""WITH a AS (WITH {_VALUES} SELECT * FROM v), o AS (WITH {_OTHER} SELECT * FROM v), pd AS (SELECT a.metric, a."group" AS gr, a.value - o.value AS d FROM a JOIN o USING (query_id, metric)), {_boot('pd', 'gr', 'd', metrics.REPEATS)}
     SELECT metric, (SELECT round(avg(d), 6) FROM pd WHERE pd.metric = bo.metric) AS diff, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi,
     round(least(1, 2 * least(avg((mean <= 0)::INT), avg((mean >= 0)::INT))), 6) AS p FROM bo GROUP BY metric""",
 )
 def paired_bootstrap(spark, sf_dir):
     a, b = values(spark, sf_dir), values(spark, sf_dir, retrieve.overlap)
-    return _rounded(metrics.paired(a, b, ["metric"], "group", REPEATS), "diff", "lo", "hi", "p")
+    return _rounded(metrics.paired(a, b, ["metric"], "group"), "diff", "lo", "hi", "p")
 
 
 @query("bootstrap_generator")

@@ -7,7 +7,7 @@ from findery.plans import catalogue
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["bootstrap_ci"])
+@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_bootstrap"])
 def test_bootstraps_draw_as_often_as_the_library(spark, monkeypatch, name):
     """A query takes the library's number of resamples, and so does its SQL."""
     drawn, real = [], metrics.resampled
