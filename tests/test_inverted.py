@@ -86,3 +86,42 @@ def test_forward_rows(spark):
     assert got == {"a": ("", 3, {"a": 1, "b": 2}), "n": ("s", 0, {}), "e": ("s", 0, {})}
     long = spark.range(1).select(F.lit("x").alias("id"), F.lit("s").alias("source"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit("w"), (i % 50_000).cast("string"))), " ").alias("text"))
     assert forward(long).select(F.size("terms"), F.array_max(F.transform("terms", lambda t: t.tf))).first()[:] == (50_000, 4)
+
+
+def test_neither_texts_nor_postings_are_kept_or_shuffled_on_the_way(spark, tmp_path, monkeypatch):
+    """A first sync inverts texts where they are read and stages keys only; a task of a search passes on its best hits."""
+    from findery.sources import inverted
+
+    staged, real = [], inverted.stage
+    monkeypatch.setattr(inverted, "stage", lambda df, name: staged.append(df.columns) or real(df, name))
+    rows = chunks(spark, corpus(2000, 3))
+    assert "Exchange" not in inverted.posted(forward(rows))._jdf.queryExecution().executedPlan().toString()
+    kept = InvertedIndex(spark, f"{tmp_path}/i", buckets=4)
+    kept.sync(rows)
+    assert staged and not any({"text", "terms"} & set(c) for c in staged)
+    found = kept.candidates(spark.createDataFrame([(1, "the")], "query_id long, query string"), 5).found
+    assert 5 <= found.count() <= 5 * found.rdd.getNumPartitions() < 2000
+
+
+def test_blocks_hold_what_the_chunks_have(spark):
+    """Pools of few postings and chunks of many words: no block has more chunks than it may, and all words are there."""
+    from findery.sources.inverted import MEMBERS, posted
+
+    rows = chunks(spark, [*corpus(500, 4), ("none", "s", None), ("long", "s", " ".join(f"x{i}" for i in range(3000)))])
+    made = posted(forward(rows), per_block=7, pool=900).collect()
+    members = {r.block: list(zip(r.ids, r.n_words)) for r in made if r.term is None}
+    assert MEMBERS < 0 and max(map(len, members.values())) <= 7 and sum(map(len, members.values())) == 502
+    got = {(members[r.block][slot][0], r.term): tf for r in made if r.term is not None for slot, tf in zip(r.slots, r.tfs, strict=True)}
+    assert got == {(r.id, t.term): t.tf for r in forward(rows).collect() for t in r.terms}
+    for r in made:
+        if r.term is not None:
+            assert (r.n, r.max_tf, r.min_words) == (len(r.slots), max(r.tfs), min(members[r.block][slot][1] for slot in r.slots))
+
+
+def test_a_source_that_loses_chunks_beside_a_repeated_one(spark, tmp_path, asked):
+    """Equal ids in two sources, and repeated ones with two texts: the first text counts, and only the source's own chunk goes."""
+    kept = InvertedIndex(spark, f"{tmp_path}/i", buckets=2)
+    kept.sync(chunks(spark, [("a", "s1", "the w40"), ("a", "s1", "the w3 w3"), ("a", "s2", "w1 the"), ("b", "s2", "w1")]))
+    kept.sync(chunks(spark, [("b", "s2", "w1")]))
+    left = chunks(spark, [("a", "s1", "the w3 w3"), ("b", "s2", "w1")])
+    assert hits(kept.search(asked)) == hits(retrieve.bm25(asked, left))
