@@ -1,4 +1,5 @@
 import importlib.util
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,22 @@ def test_questions_file(spark, tmp_path):
     rows = records.read_questions(spark, f"{tmp_path}/q.jsonl").orderBy("query_id").collect()
     assert [(r.query_id, r.query, r.type, r.evidence, len(r.relevant)) for r in rows] == [(0, "one", "", "", 0), (1, "two", "factual", "e", 1)]
     assert records.read_questions(spark, f"{tmp_path}/none.jsonl").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_make_the_chunks_of_their_section(spark, seed):
+    """Wherever a section is cut in pieces: passages that begin with a unit of the piece before, span pieces, or end with one. Texts
+    are not shuffled, but for those passages."""
+    rng = random.Random(seed)
+    sections, pieces = [], []
+    for d in range(12):
+        units = [" ".join(f"d{d}u{i}w{j}" for j in range(rng.choice((1, 2, 3, 5, 9, 40)))) for i in range(rng.randint(1, 60))]
+        sections.append((f"s{d}", ["Head"] if d % 2 else [], "\n\n".join(units), 1))
+        cuts = sorted({0, len(units), *(rng.randrange(len(units)) for _ in range(rng.choice((0, 1, 4, 30))))})
+        pieces += [(f"d{d}", f"s{d}", 1, ["Head"] if d % 2 else [], page, 0, "\n\n".join(units[a:b])) for page, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    whole = chunk.chunk_sections(spark.createDataFrame(sections, "source string, path array<string>, text string, page int"), None, 10, 3, 1)
+    cut = spark.createDataFrame(pieces, "doc string, source string, section_no int, path array<string>, page int, k int, text string")
+    form = lambda df: sorted(tuple(map(str, r)) for r in df.select("id", "text", "metadata.source", "metadata.section", "metadata.part", "n_tokens").collect())
+    made = chunk.chunk_pieces(cut, None, 10, 3, 1)
+    assert form(made) == form(whole)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # the shares of passages

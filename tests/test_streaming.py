@@ -94,3 +94,27 @@ def test_a_file_goes_through_in_parts(spark, tmp_path):
     whole = ingest_pages(spark.createDataFrame([("a", "a.md", 1, text)], "doc string, source string, page int, text string"))
     form = lambda df: sorted(map(tuple, df.collect()))
     assert form(store.read().select("id", "text", "section", "part")) == form(whole.select("id", "text", "metadata.section", "metadata.part"))
+
+
+def test_what_a_batch_has_staged_goes_with_it(spark, tmp_path):
+    """A stream leaves its files' parts and the store; chunks and what they were made of go when the batch ends."""
+    from pathlib import Path
+
+    staged = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("findery/*")}
+    before = staged()
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.md").write_text(f"# A\n{words(40, 'a')}\n\n# B\n{words(900, 'b')}")
+    store = VectorStore(spark, f"{tmp_path}/store", HashEmbedder(), buckets=4)
+    ingest.sync_files(spark, str(tmp_path / "files"), store, f"{tmp_path}/checkpoint").awaitTermination()
+    assert store.count() == 3 and staged() == before
+
+
+def test_sources_that_share_a_bucket_stay(spark, tmp_path):
+    """Chunks that go to the store as they lie, and later ones beside them."""
+    files = tmp_path / "files"
+    files.mkdir()
+    store = VectorStore(spark, f"{tmp_path}/store", HashEmbedder(), buckets=1)
+    for name in "abc":
+        (files / f"{name}.md").write_text(words(40, name))
+        ingest.sync_files(spark, str(files), store, f"{tmp_path}/checkpoint").awaitTermination()
+        assert sorted(r.source for r in store.read().collect()) == [f"{n}.md" for n in "abc" if n <= name]
